@@ -28,7 +28,8 @@ from .common import stage
 WINDOW = 4096
 END_ID = 2
 #: Words of a generation of the memo of word ids; two generations are held.
-MEMO = 150_000
+MEMO = 300_000
+GROUP = 1 << 20
 
 # White space to Unicode and so to the tokenizer; str.split() also cuts at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -41,44 +42,80 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of a run of characters without white space, as bytes of 16-bit numbers. The tokenizer drops
-    white space and never joins across it, so a text's ids are those of its runs.
+class WordIds:
+    """Ids of runs of characters without white space, as bytes of 16-bit numbers. The tokenizer drops
+    white space and never joins across it, so a text's ids are those of its runs. Runs not met before
+    are encoded together, a bar between any two.
     """
 
+    BAR = "|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bar = self._encode(self.BAR)
+        self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        words = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        return b"".join([self[w] for w in words if w])
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.BAR not in w]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = self._encode(f" {self.BAR} ".join(some))
+            parts = np.split(ids, np.flatnonzero(ids == self.bar[0]))
+            if len(parts) != len(some):
+                raise ValueError("the tokenizer joins across white space")
+            self.memo[some[0]] = parts[0].tobytes()
+            for w, x in zip(some[1:], parts[1:], strict=True):
+                self.memo[w] = x[1:].tobytes()
+        for w in words:
+            if self.BAR in w:
+                self.memo[w] = self._encode(w).tobytes()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
+        fresh = []
+        for w in set().union(*split).difference(self.memo):
+            known = self.old.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                self.memo[w] = known
+        self._learn(fresh)
+        get = self.memo.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(self.memo) >= MEMO:
+            self.old, self.memo = self.memo, {}
+        return out
+
+    def all_texts(self, texts):
+        """As texts(), in groups of about GROUP characters."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= GROUP:
+                yield from self.texts(held)
+                held, size = [], 0
+        if held:
+            yield from self.texts(held)
 
 
 def _tokenize(path: str):
     def tokenize(frames):
         from pyspark import TaskContext
 
-        ids, part, row = WordIds(path), TaskContext.get().partitionId(), 0
+        ids, part = WordIds(path), TaskContext.get().partitionId()
         ends: dict = {}
         end = np.array([END_ID], dtype="<u2").tobytes()
         for frame in frames:
             coded, starts = [], []
-            for text, source in zip(frame["body"], frame["queue"], strict=True):
-                data = ids.text(text) + end
+            for data, source in zip(ids.all_texts(frame["body"]), frame["queue"], strict=True):
+                data += end
                 coded.append(data)
                 starts.append(ends.get(source, 0))
                 ends[source] = starts[-1] + len(data) // 2

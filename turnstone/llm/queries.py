@@ -115,10 +115,10 @@ ORACLE_SQL = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
              q AS (SELECT *, octet_length(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS top,
-                          row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS at FROM p)
+                          row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS rn FROM p)
         SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest,
-               CASE WHEN n >= 1000 AND at > 1 THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 1000 AND at > 1 THEN top END AS refers_to
+               CASE WHEN n >= 1000 AND rn > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND rn > 1 THEN top END AS refers_to
         FROM q
     """,
 }
