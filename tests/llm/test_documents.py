@@ -291,7 +291,7 @@ def test_word_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     tok, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
-    for t in ("It's ΣΟΦΟΣ İzmir x y", "a\x1cb \x1f", "<|endoftext|> x<|startoftext|>y", "é ́ ﬁ ½ 12a3", "🎉​z\u0085q", "a|b | c"):
+    for t in ("It's ΣΟΦΟΣ İzmir x y", "a\x1cb \x1f", "<|endoftext|> x<|startoftext|>y", "é ́ ﬁ ½ 12a3", "🎉​z\u0085q", "a|b | c", "Word, word. É! ß? A.. 's It'S.", "x."):
         assert np.frombuffer(own.texts([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 

@@ -29,7 +29,8 @@ WINDOW = 4096
 END_ID = 2
 #: Words of a generation of the memo of word ids; two generations are held.
 MEMO = 300_000
-GROUP = 1 << 20
+GROUP = 1 << 22
+MARKS = ".,;:!?"
 
 # White space to Unicode and so to the tokenizer; str.split() also cuts at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -55,37 +56,51 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bar = self._encode(self.BAR)
+        self.marks = {"": b""} | {x: self._encode(x).tobytes() for x in MARKS}
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
 
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        """A run with the same ids, and the mark to add: letters and one mark are pieces of their own to
+        the tokenizer, and it lower-cases."""
+        mark = word[-1] if word[-1] in MARKS and word[:-1].isalpha() else ""
+        stem = word[: len(word) - len(mark)]
+        return (stem.lower() if stem.isascii() else stem), mark
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if self.BAR not in w]
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
             ids = self._encode(f" {self.BAR} ".join(some))
-            parts = np.split(ids, np.flatnonzero(ids == self.bar[0]))
-            if len(parts) != len(some):
+            bars = np.flatnonzero(ids == self.bar[0])
+            if len(bars) != len(some) - 1:
                 raise ValueError("the tokenizer joins across white space")
-            self.memo[some[0]] = parts[0].tobytes()
-            for w, x in zip(some[1:], parts[1:], strict=True):
-                self.memo[w] = x[1:].tobytes()
+            data, ends = ids.tobytes(), (2 * bars).tolist()
+            begins = [0] + [e + 2 for e in ends]
+            self.memo.update(zip(some, map(data.__getitem__, map(slice, begins, [*ends, len(data)])), strict=True))
         for w in words:
             if self.BAR in w:
                 self.memo[w] = self._encode(w).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
-        fresh = []
+        fresh, made = set(), []
         for w in set().union(*split).difference(self.memo):
             known = self.old.get(w)
             if known is None:
-                fresh.append(w)
+                stem, mark = self._stem(w)
+                made.append((w, stem, mark))
+                if stem not in self.memo:
+                    fresh.add(stem)
             else:
                 self.memo[w] = known
-        self._learn(fresh)
+        self._learn(list(fresh))
+        for w, stem, mark in made:
+            self.memo[w] = self.memo[stem] + self.marks[mark]
         get = self.memo.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.memo) >= MEMO:
