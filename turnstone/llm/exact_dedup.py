@@ -166,7 +166,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.lit("two texts share a SHA-256, or the input changed while it was read")).cast("long"))
         .alias("group_size"),
     )
-    among = suspects.join(groups, "sha").select(
+    # written first: rows of a hot group then meet a plain table, so Spark may split them
+    among = suspects.join(checked_broadcast(stage(groups, "groups"), 96), "sha").select(
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
         "group_size",
