@@ -1,0 +1,343 @@
+"""Transcripts whose records only make sense in order: one fold a file, over captured records.
+
+A file is the unit of capture and of retry, so a task holds one file's records at a time. Every product's
+reader feeds the same Thread, which numbers messages and keeps what belongs to no message apart.
+"""
+
+from __future__ import annotations
+
+import json
+from collections import Counter
+from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SUMMARY = 1024
+CALLS = "array<struct<id:string,name:string,input:string>>"
+RESULTS = "array<struct<id:string,summary:string,is_error:boolean>>"
+THREAD = (
+    f"path string, kind string, idx int, role string, content string, thinking string, at timestamp, calls {CALLS}, "
+    f"results {RESULTS}, ends_turn boolean, native_id string, model string, cwd string, git_branch string, "
+    "input_tokens long, cached_tokens long, output_tokens long"
+)
+NAMES = [c.split()[0] for c in THREAD.split(", ")]
+
+
+def when(value) -> datetime | None:
+    """ISO text or epoch milliseconds; None where neither reads."""
+    try:
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return datetime.fromtimestamp(value / 1000, UTC).replace(tzinfo=None)
+        read = datetime.fromisoformat(value)
+        return read.astimezone(UTC).replace(tzinfo=None) if read.tzinfo else read
+    except (TypeError, ValueError, OverflowError, OSError):
+        return None
+
+
+def whole(value) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) else None
+
+
+def as_dict(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def summary(content) -> str:
+    """A result's text, cut to SUMMARY characters."""
+    if isinstance(content, list):
+        content = "\n".join(str(as_dict(b).get("text") or "") for b in content if as_dict(b).get("type") == "text")
+    return ("" if content is None else content if isinstance(content, str) else json.dumps(content))[:SUMMARY]
+
+
+def call(id_, name, given) -> dict:
+    text = given if isinstance(given, str) else None if given is None else json.dumps(given)
+    return {"id": str(id_) if id_ else None, "name": str(name or ""), "input": text}
+
+
+def answer(id_, content, failed=False) -> dict:
+    return {"id": str(id_), "summary": summary(content), "is_error": bool(failed)}
+
+
+def blocks(content) -> dict:
+    """Text, thinking, calls and results of a message's content: a string, a block, or a list of either."""
+    out = {"text": [], "thinking": [], "calls": [], "results": []}
+    for b in content if isinstance(content, list) else [content]:
+        if isinstance(b, str):
+            out["text"].append(b)
+            continue
+        b = as_dict(b)
+        kind = b.get("type")
+        if kind in ("text", "input_text", "output_text") and isinstance(b.get("text"), str):
+            out["text"].append(b["text"])
+        elif kind == "thinking":
+            out["thinking"].append(str(b.get("thinking") or b.get("text") or ""))
+        elif kind in ("tool_use", "toolCall"):
+            out["calls"].append(call(b.get("id") or b.get("toolCallId"), b.get("name"), b.get("input", b.get("arguments"))))
+        elif kind in ("tool_result", "toolResult"):
+            out["results"].append(answer(b.get("tool_use_id") or b.get("toolCallId"), b.get("content"), b.get("is_error")))
+    return out
+
+
+class Thread:
+    """What one file has told so far."""
+
+    def __init__(self, path: str):
+        self.path, self.said, self.loose = path, [], []
+        self.about: dict = {}
+        self.used: dict[str, int | None] = {"input_tokens": None, "cached_tokens": None, "output_tokens": None}
+
+    def say(self, role, text, thinking=(), at=None, calls=(), results=(), ends=None) -> dict:
+        join = lambda parts: ("\n".join(parts) if isinstance(parts, (list, tuple)) else parts) or None
+        row = {"kind": "message", "role": role, "content": join(text), "thinking": join(thinking), "at": at}
+        self.said.append(row | {"calls": list(calls), "results": list(results), "ends_turn": ends})
+        return self.said[-1]
+
+    def stray(self, at=None, calls=(), results=(), ends=None) -> None:
+        """Calls, results or a turn's end outside any message; idx is then the last message's."""
+        self.loose.append(
+            {"kind": "stray", "idx": len(self.said) - 1, "at": at, "calls": list(calls), "results": list(results), "ends_turn": ends}
+        )
+
+    def know(self, **facts) -> None:
+        self.about.update({k: v for k, v in facts.items() if v})
+
+    def spend(self, merge: Callable[[int, int], int], **tokens) -> None:
+        """An unknown count stays unknown; it is no zero."""
+        for k, n in tokens.items():
+            if n is not None:
+                self.used[k] = n if self.used[k] is None else merge(self.used[k], n)
+
+    def rows(self) -> Iterable[dict]:
+        yield {"path": self.path, "kind": "session"} | self.about | self.used
+        for i, row in enumerate(self.said):
+            yield {"path": self.path} | row | {"idx": i}
+        for row in self.loose:
+            yield {"path": self.path} | row
+
+
+class Mirror:
+    """Two streams tell the same messages: each copy meets one of the other stream, and only the first to come counts."""
+
+    def __init__(self, one: str, other: str, always: bool = True):
+        self.facing = {one: other, other: one}
+        self.open, self.always, self.waiting = always, always, Counter()
+
+    def first(self, stream: str, identity) -> bool:
+        if not self.open:
+            return True
+        if self.waiting[self.facing[stream], identity]:
+            self.waiting[self.facing[stream], identity] -= 1
+            return False
+        self.waiting[stream, identity] += 1
+        return True
+
+    def close(self) -> None:
+        self.open = self.always
+        self.waiting.clear()
+
+
+def read_codex(thread: Thread, records: Iterable[dict]) -> None:
+    """Events and response items mirror each other; calls stand outside messages; token totals are running ones."""
+    mirror = Mirror("event", "item")
+    for r in records:
+        p, at = as_dict(r.get("payload")), when(r.get("timestamp"))
+        kind, sub = r.get("type"), as_dict(r.get("payload")).get("type")
+        if kind == "session_meta":
+            if p.get("id") in (None, thread.about.get("native_id", p.get("id"))):  # a fork embeds its parent's
+                thread.know(native_id=p.get("id"), cwd=p.get("cwd"), git_branch=as_dict(p.get("git")).get("branch"))
+        elif kind == "turn_context":
+            thread.know(model=p.get("model"), cwd=p.get("cwd"))
+        elif kind == "token_usage_record" or sub == "token_count":
+            total = as_dict(p.get("thread_token_usage") or as_dict(p.get("info")).get("total_token_usage"))
+            thread.spend(
+                max,
+                input_tokens=whole(total.get("input_tokens")),
+                cached_tokens=whole(total.get("cached_input_tokens")),
+                output_tokens=whole(total.get("output_tokens")),
+            )
+        elif kind == "event_msg" and sub in ("user_message", "agent_message"):
+            role, text = "user" if sub == "user_message" else "assistant", str(p.get("message") or "")
+            if mirror.first("event", (role, text)):
+                thread.say(role, text, at=at)
+        elif kind == "event_msg" and sub in ("task_started", "task_complete", "turn_aborted"):
+            thread.stray(at, ends=sub != "task_started")
+        elif kind == "message" or kind == "response_item" and sub == "message":
+            b = blocks(p.get("content"))
+            role, text = p.get("role") or "system", "\n".join(b["text"])
+            if kind == "message" or mirror.first("item", (role, text)):
+                thread.say(role, text, b["thinking"], at, b["calls"], b["results"])
+        elif sub in ("function_call", "custom_tool_call"):
+            thread.stray(at, [call(p.get("call_id"), p.get("name"), p.get("parameters", p.get("arguments", p.get("input"))))])
+        elif sub == "web_search_call":
+            thread.stray(at, [call(p.get("call_id") or p.get("id"), "web_search", p.get("action"))])
+        elif isinstance(sub, str) and sub.endswith("_output") and p.get("call_id"):
+            thread.stray(at, results=[answer(p["call_id"], p.get("output"))])
+
+
+# How a turn ends.
+PI_ENDS = ("stop", "aborted", "error")
+
+
+def read_pi(thread: Thread, records: Iterable[dict]) -> None:
+    """Billable input is fresh, read and written cache; a shell run is a message with its own call and result."""
+    for r in records:
+        kind, at, m = r.get("type"), when(r.get("timestamp")), as_dict(r.get("message"))
+        if kind == "session":
+            thread.know(native_id=r.get("id"), cwd=r.get("cwd"))
+        elif kind == "model_change":
+            thread.know(model=r.get("modelId"))
+        elif kind in ("custom_message", "compaction"):
+            text = r.get("summary") if kind == "compaction" else blocks(r.get("content"))["text"]
+            if text:
+                thread.say("system", text, at=at)
+        elif kind == "message" and m.get("role") == "bashExecution":
+            bad = bool(m.get("cancelled")) or m.get("exitCode") not in (None, 0)
+            thread.say(
+                "system", str(m.get("output") or ""), at=at, calls=[call(r.get("id"), "bash", {"command": m.get("command")})],
+                results=[answer(r.get("id"), m.get("output"), bad)] if r.get("id") else [],
+            )
+        elif kind == "message":
+            b, role = blocks(m.get("content")), m.get("role")
+            if m.get("toolCallId"):
+                b["results"].append(answer(m["toolCallId"], m.get("content"), m.get("isError")))
+            ends = m.get("stopReason") in PI_ENDS if role == "assistant" and m.get("stopReason") else None
+            role = role if role in ("user", "assistant") else "system"
+            thread.say(role, b["text"], b["thinking"], at, b["calls"], b["results"], ends)
+            use = as_dict(m.get("usage"))
+            paid = [n for n in (whole(use.get(k)) for k in ("input", "cacheRead", "cacheWrite")) if n is not None]
+            thread.spend(
+                int.__add__, input_tokens=sum(paid) if paid else None, cached_tokens=whole(use.get("cacheRead")),
+                output_tokens=whole(use.get("output")),
+            )
+
+
+def read_grok(thread: Thread, records: Iterable[dict]) -> None:
+    """Reasoning waits for the next assistant message; backend calls join the last message if it is the assistant's,
+    else the next. What still waits at another speaker or at the end becomes a message of its own."""
+    parts = thread.path.rstrip("/").split("/")
+    if len(parts) > 2:
+        thread.know(native_id=parts[-2], cwd=unquote(parts[-3]))
+    thoughts, calls = [], []
+
+    def flush() -> None:
+        if thoughts or calls:
+            thread.say("assistant", None, list(thoughts), calls=list(calls))
+            thoughts.clear(), calls.clear()
+
+    for r in records:
+        kind = r.get("type")
+        if kind in ("system", "user"):
+            flush()
+            if text := blocks(r.get("content"))["text"]:
+                thread.say(kind, text)
+        elif kind == "assistant":
+            own = as_dict(r.get("reasoning")).get("text")
+            thoughts.extend([own] if own else [])
+            made = [call(as_dict(c).get("id"), as_dict(c).get("name"), as_dict(c).get("arguments")) for c in r.get("tool_calls") or []]
+            if "model" not in thread.about:
+                thread.know(model=r.get("model_id"))
+            thread.say("assistant", blocks(r.get("content"))["text"], list(thoughts), calls=calls + made)
+            thoughts.clear()
+            calls = []
+        elif kind == "tool_result":
+            flush()
+            text, id_ = str(r.get("content") or ""), r.get("tool_call_id")
+            if text or id_:
+                label = [f"[tool_call_id: {id_}]"] if id_ else []
+                thread.say("system", label + ([text] if text else []), results=[answer(id_, text, r.get("is_error"))] if id_ else [])
+        elif kind == "reasoning":
+            thoughts.extend(blocks(r.get("summary"))["text"] or [str(as_dict(s).get("text")) for s in r.get("summary") or [] if as_dict(s).get("text")])
+        elif kind == "backend_tool_call":
+            made = call(r.get("id") or r.get("tool_call_id"), r.get("name"), r.get("arguments", r.get("input")))
+            (thread.said[-1]["calls"] if thread.said and thread.said[-1]["role"] == "assistant" else calls).append(made)
+    flush()
+
+
+def read_kimi(thread: Thread, records: Iterable[dict]) -> None:
+    """A step's parts gather until the step ends; within an open turn the agent's stream mirrors the wire's."""
+    mirror, step = Mirror("wire", "agent", always=False), None
+
+    def end_step(at, reason) -> None:
+        if step and any(step.values()):
+            if mirror.first("wire", ("assistant", "\n".join(step["text"]))):
+                ends = None if reason is None else reason != "tool_use"
+                thread.say("assistant", step["text"], step["thinking"], at, step["calls"], step["results"], ends)
+
+    for r in records:
+        kind, at, e = r.get("type"), when(r.get("time")), as_dict(r.get("event"))
+        if kind == "metadata":
+            thread.know(native_id=r.get("session_id"))
+        elif kind in ("profile.bind", "llm.request"):
+            thread.know(model=r.get("modelAlias"))
+        elif kind == "agent.turn.started":
+            mirror.open = True
+        elif kind == "agent.turn.ended":
+            mirror.close()
+        elif kind in ("context.append_message", "agent.message.appended"):
+            m, agent = as_dict(r.get("message")), kind == "agent.message.appended"
+            m = as_dict(m.get("message")) if agent else m
+            mirror.open = mirror.open or agent
+            b, role = blocks(m.get("content")), m.get("role")
+            role = role if role in ("user", "assistant") else "system"
+            if mirror.first("agent" if agent else "wire", (role, "\n".join(b["text"]))):
+                thread.say(role, b["text"], b["thinking"], at, b["calls"], b["results"])
+        elif kind == "usage.record":
+            use = as_dict(r.get("usage"))
+            paid = [n for n in (whole(use.get(k)) for k in ("inputOther", "inputCacheRead", "inputCacheCreation")) if n is not None]
+            thread.spend(
+                int.__add__, input_tokens=sum(paid) if paid else None, cached_tokens=whole(use.get("inputCacheRead")),
+                output_tokens=whole(use.get("output")),
+            )
+        elif kind == "context.append_loop_event":
+            what, part = e.get("type"), as_dict(e.get("part"))
+            if what == "step.begin":
+                end_step(at, None)
+                step = {"text": [], "thinking": [], "calls": [], "results": []}
+            elif what == "step.end":
+                end_step(at, e.get("finishReason"))
+                step = None
+            elif what == "tool.result" and step is None:
+                thread.stray(at, results=[answer(e.get("toolCallId"), as_dict(e.get("result")).get("output"))])
+            elif step is not None:
+                if what == "content.part" and part.get("type") in ("text", "think"):
+                    step["text" if part["type"] == "text" else "thinking"].append(str(part.get(part["type"]) or ""))
+                elif what == "tool.call":
+                    step["calls"].append(call(e.get("toolCallId"), e.get("name"), e.get("args")))
+                elif what == "tool.result":
+                    result = as_dict(e.get("result"))
+                    step["results"].append(answer(e.get("toolCallId"), result.get("output"), result.get("isError")))
+    end_step(None, None)
+
+
+READERS = {"codex": read_codex, "pi": read_pi, "grok": read_grok, "kimi": read_kimi}
+
+
+def read_threads(records: DataFrame, product: str) -> DataFrame:
+    """Captured records (path, line, record) -> THREAD rows: a session row a file, its messages, and strays."""
+    reader = READERS[product]
+
+    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+        thread = Thread(key[0])
+        reader(thread, (json.loads(x) for x in frame.sort_values("line")["record"]))
+        out = pd.DataFrame([{n: row.get(n) for n in NAMES} for row in thread.rows()], columns=NAMES)
+        numbers = {c: "Int64" for c in ("input_tokens", "cached_tokens", "output_tokens")} | {"idx": "Int32"}
+        return out.astype(numbers | {"at": "datetime64[us]", "ends_turn": "boolean"})
+
+    return records.select("path", "line", "record").groupBy("path").applyInPandas(fold, THREAD)
+
+
+def with_sidecars(sessions: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """sidecars (path, content) of summary files beside the transcripts override what the path told."""
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]+$", 1)
+    at = lambda p: F.nullif(F.get_json_object(F.col("content").cast("string"), p), F.lit(""))
+    side = sidecars.select(
+        folder("path").alias("folder"), at("$.info.cwd").alias("s_cwd"), at("$.current_model_id").alias("s_model"),
+        at("$.head_branch").alias("s_branch"),
+    )
+    names = {"cwd": "s_cwd", "model": "s_model", "git_branch": "s_branch"}
+    both = sessions.withColumn("folder", folder("path")).join(side, "folder", "left")
+    return both.withColumns({k: F.coalesce(v, k) for k, v in names.items()}).drop("folder", *names.values())
