@@ -75,3 +75,28 @@ def three_valued(rows: DataFrame, condition) -> DataFrame:
 def fleet_live(parts: DataFrame, limit: int) -> DataFrame:
     rank = F.when(F.col("liveness") == "active", 0).when(F.col("liveness") == "idle", 1).when(F.col("liveness") == "unknown", 2).otherwise(3)
     return parts.orderBy(rank, F.desc_nulls_last("last_activity"), "id").limit(limit)
+
+
+def roster(sessions: DataFrame, files: DataFrame, watched: DataFrame, active_since) -> DataFrame:
+    """Indexed sessions, catalogued files no session stands for, and watched paths nobody knows: path, id, arm,
+    observed_write. sessions (id, path), files (path, present, mtime), watched (path)."""
+    seen = watched.select("path").distinct().withColumn("w", F.lit(True))
+    known = sessions.select("path", "id").join(files, "path", "left").withColumn("arm", F.lit("indexed"))
+    bare = files.join(sessions.select("path"), "path", "left_anti").withColumns({"id": F.lit(None), "arm": F.lit("catalogued")})
+    strange = seen.select("path").join(sessions.select("path"), "path", "left_anti").join(files.select("path"), "path", "left_anti")
+    strange = strange.withColumns({"id": F.lit(None), "present": F.lit(None), "mtime": F.lit(None), "arm": F.lit("watched")})
+    rows = known.unionByName(bare).unionByName(strange).join(seen, "path", "left")
+    wrote = F.coalesce("w", F.lit(False)) | F.coalesce(F.col("present") & (F.col("mtime") >= active_since), F.lit(False))
+    return rows.select("path", "id", "arm", wrote.alias("observed_write"))
+
+
+def members(rows: DataFrame, include_idle: bool, idle_since) -> DataFrame:
+    idle = F.coalesce(F.col("last_activity") >= idle_since, F.lit(False)) & F.lit(include_idle)
+    return rows.filter(F.col("observed_write") | idle)
+
+
+def watched_sessions(paths: list[str], sessions: DataFrame) -> DataFrame:
+    """The watch list in its order, each path with every session that stands for it, or with none."""
+    spark = sessions.sparkSession
+    listed = spark.createDataFrame(list(enumerate(paths)), "place long, path string")
+    return listed.join(sessions.select("path", "id"), "path", "left").orderBy("place", "id")

@@ -108,3 +108,36 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str, limit: int = 20) -> Da
         .orderBy(F.desc("score"), F.desc_nulls_last("bm25"), F.desc_nulls_last("cosine"), key)
         .limit(limit)
     )
+
+
+def search_all(messages: DataFrame, calls: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """Both legs' top lists (key, score), messages already weighed by quality, as one list."""
+    both = messages.select(F.lit("message").alias("kind"), key, "score").unionByName(
+        calls.select(F.lit("call").alias("kind"), key, "score")
+    )
+    return both.orderBy(F.desc("score"), "kind", key).limit(limit)
+
+
+def stamp_host(found: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The session's host; blank, null or no session is `local`."""
+    hosts = sessions.select(F.col("id").alias("session_id"), F.nullif(F.trim("host"), F.lit("")).alias("host"))
+    return found.join(hosts, "session_id", "left").withColumn("host", F.coalesce("host", F.lit("local")))
+
+
+def resolve_mode(asked: str, tool: str | None, has_vectors: bool) -> str:
+    """A tool filter makes it keyword; auto is hybrid where vectors exist, else keyword."""
+    if tool or asked == "auto" and not has_vectors:
+        return "keyword"
+    return "hybrid" if asked == "auto" else asked
+
+
+def resolve_session(sessions: DataFrame, identifier: str, most: int = 20) -> list:
+    """The rows an identifier names: an exact id, else an exact source id, else 6 to 31 hex digits of an id's start.
+    At most `most` + 1 rows come to the driver; more than one is ambiguous."""
+    rungs = [F.col("id") == identifier, F.col("source_session_id") == identifier]
+    if re.fullmatch("[0-9a-f]{6,31}", identifier):
+        rungs.append(F.col("id").startswith(identifier))
+    for rung in rungs:
+        if found := sessions.filter(rung).orderBy("id").limit(most + 1).collect():
+            return found
+    return []
