@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from .common import stage
 WINDOW = 4096
 END_ID = 2
 #: Words of a generation of the memo of word ids; two generations are held.
-MEMO = 300_000
+MEMO = 600_000
 GROUP = 1 << 22
 MARKS = ".,;:!?"
 
@@ -95,7 +96,10 @@ class WordIds:
                 stem, mark = self._stem(w)
                 made.append((w, stem, mark))
                 if stem not in self.memo:
-                    fresh.add(stem)
+                    if stem in self.old:
+                        self.memo[stem] = self.old[stem]
+                    else:
+                        fresh.add(stem)
             else:
                 self.memo[w] = known
         self._learn(list(fresh))
@@ -120,11 +124,17 @@ class WordIds:
             yield from self.texts(held)
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's tokenizer and memo, kept from task to task."""
+    return WordIds(path)
+
+
 def _tokenize(path: str):
     def tokenize(frames):
         from pyspark import TaskContext
 
-        ids, part = WordIds(path), TaskContext.get().partitionId()
+        ids, part = word_ids(path), TaskContext.get().partitionId()
         ends: dict = {}
         end = np.array([END_ID], dtype="<u2").tobytes()
         for frame in frames:
