@@ -16,6 +16,7 @@ packed each. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -125,16 +126,17 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """A worker's tokenizer and memo, kept from task to task."""
+def word_ids(path: str, run: str) -> WordIds:
+    """A worker's tokenizer and memo, kept from task to task of one run and no longer: a run does
+    the same work whatever its workers ran before."""
     return WordIds(path)
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, run: str):
     def tokenize(frames):
         from pyspark import TaskContext
 
-        ids, part = word_ids(path), TaskContext.get().partitionId()
+        ids, part = word_ids(path, run), TaskContext.get().partitionId()
         ends: dict = {}
         end = np.array([END_ID], dtype="<u2").tobytes()
         for frame in frames:
@@ -241,7 +243,7 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
     coded = stage(
         ready.mapInPandas(
-            _tokenize(path or tokenizer_path()), "doc_id long, queue string, part int, start long, ids binary, tokens int"
+            _tokenize(path or tokenizer_path(), uuid.uuid4().hex), "doc_id long, queue string, part int, start long, ids binary, tokens int"
         ),
         "tokens",
     )
