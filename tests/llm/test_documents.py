@@ -295,6 +295,18 @@ def test_word_ids_equal_the_tokenizers():
         assert np.frombuffer(own.texts([t])[0], "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_of_random_runs_equal_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    signs, chance = "aAzZéÉİıſŉΣσß́ !!'\"|.,#1٣你\x1c\x85ǅ%<>-_^`{}~[]\\sS", random.Random(1)
+    texts = ["".join(chance.choices(signs, k=chance.randint(0, 12))) for _ in range(3000)]
+    for t, got in zip(texts, own.texts(texts), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_served_is_monotone_and_whole():
     queues = np.array([1, 3, 50_000, 7, 123_456, 0, 999])
     given = packing.served(np.arange(0, -(-queues.sum() // 4096) + 1), queues)

@@ -29,10 +29,9 @@ from .common import stage
 
 WINDOW = 4096
 END_ID = 2
-#: Words of a generation of the memo of word ids; two generations are held.
-MEMO = 600_000
+#: Words, and their characters, of a generation of the memo of word ids; two generations are held.
+MEMO, MEMO_CHARS = 600_000, 16 << 20
 GROUP = 1 << 22
-MARKS = ".,;:!?"
 
 # White space to Unicode and so to the tokenizer; str.split() also cuts at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -48,32 +47,47 @@ def tokenizer_path() -> str:
 class WordIds:
     """Ids of runs of characters without white space, as bytes of 16-bit numbers. The tokenizer drops
     white space and never joins across it, so a text's ids are those of its runs. Runs not met before
-    are encoded together, a bar between any two.
+    are encoded together. Of a run of Latin letters and ASCII marks behind it, letters and marks are
+    pieces of their own to the tokenizer, which lower-cases: such runs share their stems' ids. A stem
+    is one piece, so it skips the steps that find pieces, and ends at the one id that ends a word; any
+    other run stands between bars.
     """
 
     BAR = "|"
+    #: Letters that are in composed form and whose lower case does not depend on their neighbours.
+    STEMMED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bar = self._encode(self.BAR)
-        self.marks = {"": b""} | {x: self._encode(x).tobytes() for x in MARKS}
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix, known = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for x, i in known.items() if x.endswith(suffix)]] = True
+        self.chars = 0
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+    def _encode(self, text: str, tokenizer=None) -> np.ndarray:
+        found = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, dtype="<u2")
 
     @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        """A run with the same ids, and the mark to add: letters and one mark are pieces of their own to
-        the tokenizer, and it lower-cases."""
-        mark = word[-1] if word[-1] in MARKS and word[:-1].isalpha() else ""
-        stem = word[: len(word) - len(mark)]
-        return (stem.lower() if stem.isascii() else stem), mark
-
-    def _learn(self, words: list[str]) -> None:
+    def _sliced(ids: np.ndarray, begins: list[int], ends: list[int]):
+        data = ids.tobytes()
+        return map(data.__getitem__, map(slice, begins, ends))
+
+    def _barred(self, words: list[str]) -> dict[str, bytes]:
+        out = {w: self._encode(w).tobytes() for w in words if self.BAR in w}
         plain = [w for w in words if self.BAR not in w]
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
@@ -81,35 +95,54 @@ class WordIds:
             bars = np.flatnonzero(ids == self.bar[0])
             if len(bars) != len(some) - 1:
                 raise ValueError("the tokenizer joins across white space")
-            data, ends = ids.tobytes(), (2 * bars).tolist()
-            begins = [0] + [e + 2 for e in ends]
-            self.memo.update(zip(some, map(data.__getitem__, map(slice, begins, [*ends, len(data)])), strict=True))
-        for w in words:
-            if self.BAR in w:
-                self.memo[w] = self._encode(w).tobytes()
+            ends = (2 * bars).tolist()
+            out.update(zip(some, self._sliced(ids, [0] + [e + 2 for e in ends], [*ends, 2 * len(ids)]), strict=True))
+        return out
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
-        fresh, made = set(), []
-        for w in set().union(*split).difference(self.memo):
-            known = self.old.get(w)
-            if known is None:
-                stem, mark = self._stem(w)
+    def _stemmed(self, stems: list[str]) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(stems), 4096):
+            some = stems[i : i + 4096]
+            ids = self._encode(" ".join(some), self.pieces)
+            ends = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(ends) == len(some) and ends[-1] == 2 * len(ids):
+                out.update(zip(some, self._sliced(ids, [0, *ends[:-1]], ends), strict=True))
+            else:
+                out.update(self._barred(some))
+        return out
+
+    def _learn(self, words) -> None:
+        memo, old, stems, marks = self.memo, self.old, self.stems, self.marks
+        match, made, other, fresh = self.STEMMED.fullmatch, [], [], set()
+        for w in words:
+            self.chars += len(w)
+            if w in old:
+                memo[w] = old[w]
+            elif found := match(w):
+                stem, mark = found.groups()
+                stem = stem.lower()
+                if stem not in stems:
+                    fresh.add(stem)
+                if mark not in marks:
+                    marks[mark] = self._encode(mark).tobytes()
                 made.append((w, stem, mark))
-                if stem not in self.memo:
-                    if stem in self.old:
-                        self.memo[stem] = self.old[stem]
-                    else:
-                        fresh.add(stem)
             else:
-                self.memo[w] = known
-        self._learn(list(fresh))
+                other.append(w)
+        stems.update(self._stemmed(list(fresh)))
+        memo.update(self._barred(other))
         for w, stem, mark in made:
-            self.memo[w] = self.memo[stem] + self.marks[mark]
+            memo[w] = stems[stem] + marks[mark] if mark else stems[stem]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        split = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
+        self._learn(set().union(*split).difference(self.memo))
         get = self.memo.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        if len(self.memo) >= MEMO:
-            self.old, self.memo = self.memo, {}
+        if len(self.memo) >= MEMO or self.chars >= MEMO_CHARS:
+            self.old, self.memo, self.chars = self.memo, {}, 0
+            self.marks = {"": b""}
+            if len(self.stems) >= MEMO or sum(map(len, self.stems)) >= MEMO_CHARS:
+                self.stems = {"": b""}
         return out
 
     def all_texts(self, texts):
