@@ -52,21 +52,32 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, m
     return out
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """docs (doc_id, text, source) -> per row: doc_id, text_hash, size, source_size, target, copies, taken."""
-    spark = docs.sparkSession
+def spot(text: Column) -> Column:
+    """A row's place among 2 ** (LEVEL_BITS * LEVELS) hash values."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.md5(text)))
+    return F.conv(F.substring(digest, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
     text = whole_text()
-    spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text))), 1, 15), 16, 10)
-    rows = stage(
+    return stage(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
             word_count(text).alias("size"),
-            spot.cast("long").alias("spot"),
+            spot(text).alias("spot"),
             F.xxhash64(text).alias("text_hash"),
         ),
         "sizes",
     )
+
+
+def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """rows (source, size, spot) -> per source: _source, threshold, copies, source_size, target. A
+    row is taken `copies` times and once more if its spot is below the threshold. Of each level but
+    the first only the boundary buckets' rows are read: they are written once and refined from there.
+    """
+    spark = rows.sparkSession
     # one row a source comes to the driver
     sizes = [(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
     goal = targets(sizes, weights, share, most)
@@ -74,7 +85,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> D
     # Budget of the copy that not all rows get; below: what lies under the boundary bucket so far.
     state = {s: {"prefix": 0, "below": 0, "budget": float(plan[s][1])} for s, _ in sizes}
     shape = T.StructType(
-        [T.StructField("source", T.StringType())]
+        [T.StructField("_source", T.StringType())]
         + [T.StructField(n, T.LongType()) for n in ("prefix", "threshold", "copies", "source_size")]
         + [T.StructField("target", T.DoubleType())]
     )
@@ -86,19 +97,18 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> D
                 for s, n in sizes
             ],
             shape,
-        ).withColumnRenamed("source", "_source")
-
-    def with_source(x: DataFrame) -> DataFrame:
-        return x.join(frame(), F.col("source").eqNullSafe(F.col("_source")), "left")
+        )
 
-    total = LEVEL_BITS * LEVELS
+    total, inside = LEVEL_BITS * LEVELS, rows
     for level in range(LEVELS):
         shift = total - LEVEL_BITS * (level + 1)
-        inside = rows if not level else with_source(rows).filter(
-            F.shiftright("spot", shift + LEVEL_BITS) == F.col("prefix")
-        )
+        if level:
+            at_boundary = F.shiftright("spot", shift + LEVEL_BITS) == F.col("prefix")
+            inside = with_source(inside.select("source", "size", "spot"), frame()).filter(at_boundary).select("source", "size", "spot")
+            if level == 1:
+                inside = stage(inside, "boundary")
         bucket = F.shiftright("spot", shift)
-        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
         # per source: at most 2 ** LEVEL_BITS rows, summed from the left up to the budget
         found: dict = {}
         for s, buckets in (
@@ -120,32 +130,36 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> D
         # the row (or rows of one hash) at the boundary goes in if the sum comes nearer by it
         over = x.get("last", 0) and x["below"] + x["last"] - x["budget"] < x["budget"] - x["below"]
         x["threshold"] = x["prefix"] + bool(over)
-    copies = F.col("copies") + (F.col("spot") < F.col("threshold")).cast("long")
-    return with_source(rows).select(
-        "doc_id",
-        "text_hash",
-        "size",
-        "source_size",
-        "target",
-        F.least(copies, F.lit(most)).alias("copies"),
-        (F.least(copies, F.lit(most)) * F.col("size")).alias("taken"),
+    return frame().drop("prefix")
+
+
+def with_source(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """known has one row a source and comes from the driver, so its size is proven."""
+    return rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def _copies(spots: Column, most: int = MOST) -> Column:
+    return F.least(F.col("copies") + (spots < F.col("threshold")).cast("long"), F.lit(most))
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """docs (doc_id, text, source) -> per row: doc_id, text_hash, size, source_size, target, copies, taken."""
+    rows = _sizes(docs)
+    copies = _copies(F.col("spot"), most)
+    return with_source(rows, thresholds(rows, weights, share, most)).select(
+        "doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: rows it leaves out go, rows it repeats come twice."""
+    """docs as the mix takes them: rows it leaves out go, rows it repeats come twice. Each row's hash
+    is compared with its source's thresholds where the row stands: no row moves.
+    """
     names = docs.columns
-    mix = (
-        mix_documents(docs)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
     marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.col("doc_id").alias("_did"),
-        F.xxhash64(whole_text()).alias("_dth"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("source").alias("source"), spot(whole_text()).alias("spot")
+    )
+    again = with_source(marked, thresholds(_sizes(docs))).select(
+        "_row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("spot")).cast("int")))
     )
-    taken = marked.join(mix, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dth") == F.col("_th")))
-    again = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return again.select(*[F.col("_row").getField(c).alias(c) for c in names])
