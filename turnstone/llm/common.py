@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 SPANS = "array<struct<start:int,end:int,hit:string>>"
 
 
@@ -80,19 +88,24 @@ def located(text: Column, pattern: str) -> Column:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, key_bytes: int = 24) -> DataFrame:
-    """The rows of docs whose (doc_id, xxhash64 of text) stands in kept (columns _id, _th; a third,
-    _n, counts the rows with that key). Of rows repeated with the same id and text one stays.
-    Columns of docs pass through unchanged, whatever their names.
+    """The rows of docs whose (doc_id, xxhash64 of text) stands in kept (columns _id, _th, distinct; a
+    third, _n, counts the rows of docs with that key). Of rows repeated with the same id and text one
+    stays: only those are grouped, the others pass where they stand. Columns of docs pass through
+    unchanged, whatever their names.
     """
     names = docs.columns
-    kept = stage(kept, "kept")
+    kept = stage(kept.select("_id", "_th", (F.col("_n") > 1).alias("_many")), "kept")
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
         F.col("doc_id").alias("_id"),
         F.xxhash64(whole_text()).alias("_th"),
     )
-    small = checked_broadcast(kept.select(F.col("_id").alias("_kid"), F.col("_th").alias("_kth")), key_bytes)
-    stays = marked.join(small, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
-    if kept.filter("_n > 1").limit(1).count():
-        stays = stays.groupBy("_id", "_th").agg(F.first("_row").alias("_row"))
+
+    def among(keys: DataFrame) -> DataFrame:
+        small = checked_broadcast(keys.select(F.col("_id").alias("_kid"), F.col("_th").alias("_kth")), key_bytes)
+        return marked.join(small, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
+
+    stays = among(kept.filter("not _many")).select("_row")
+    if kept.filter("_many").limit(1).count():
+        stays = stays.unionByName(among(kept.filter("_many")).groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row"))
     return stays.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -198,7 +198,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one of each component: the smallest doc_id stays."""
-    found = simhash_components(docs)
-    tops = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("top"), F.count("*").alias("n"))
-    kept = tops.select(F.col("top.doc_id").alias("_id"), F.col("top.text_hash").alias("_th"), F.col("n").alias("_n"))
+    same = simhash_components(docs).groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    tops = same.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("top"))
+    kept = tops.select(F.col("top.doc_id").alias("_id"), F.col("top.text_hash").alias("_th"), F.col("top.n").alias("_n"))
     return keep_rows(docs, kept)
