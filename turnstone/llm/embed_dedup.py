@@ -1,116 +1,209 @@
-"""Embedding near-dedup by iterative quantisation (ITQ).
+"""Embedding near-dedup by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-Equal vectors of one label are one class. Rotations that balance binary codes are learned on a
-bounded sample (TRAIN_ROWS classes, chosen by hash). Each rotation gives a 64-bit code, cut into
-substrings of SUBSTRING bits; every substring is a hash table, and vectors of one label that agree
-on a substring meet. All pairs of a bucket are reranked by the cosine of the original vectors in
-double precision, block by block; what leaves a bucket is a count per vector and a star per
-component, never pairs. A pair that meets in several tables counts in the first. Buckets above TILE
-members are cut in tiles and every pair of tiles is a task's work, so nothing is capped.
+Equal vectors of one label are one class. On a sample of at most TRAIN_ROWS vectors, chosen by hash,
+a mean and rotations are learned that balance binary codes; vectors are centred and rotated alike
+when they are coded. A code is cut into substrings whose width grows with the logarithm of the
+table; every substring is a hash table. How many tables are needed is measured: pairs planted at the
+threshold cosine around the sample must be missed with a chance of at most MISS, and the radius of
+the codes holds all but a few in a million of them.
+
+Vectors of one label that agree on a substring meet, first as the leading 64 bits of their codes
+alone: a member with another within the radius asks for its vector, the rest are done. Vectors of
+those are then fetched once a bucket, whole codes compared, and pairs within the radius reranked by
+cosine in double precision. A pair that meets in several tables counts in the first; what leaves a
+bucket is a count per vector and a star per component, never pairs. Buckets above TILE members are
+cut in tiles and every pair of tiles is a task's work, so nothing is capped.
 
 A vector that is null, zero, or holds null or non-finite components, or whose label is null, links
-with nothing: n_links 0, component_id its own vec_id, kept. Vectors of different width do not link.
-Repeated rows are copies and link with each other. Other columns are ignored.
+with nothing: n_links 0, component_id its own vec_id, kept. Vectors of different width do not link;
+a width that the sample does not hold is coded by random rotations. Repeated rows are copies and
+link with each other. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import checked_broadcast, stage
 from .graph import connected_components
-from .simhash import components
+from .simhash import components, runs
 
 COSINE = 0.98
-#: Classes the rotations are learned on, at most.
+#: Vectors the rotations are learned on, at most.
 TRAIN_ROWS = 4000
-ROTATIONS = 4
-SUBSTRING = 16
 ROUNDS = 30
-TILE = 1024
+#: Dimensions a rotation works in; wider vectors are projected to so many at random first.
+WIDE = 256
+#: Chance that a pair at the threshold meets in no table, and the most tables that may be made for it.
+MISS, TABLES = 0.003, 64
+#: Widths of a substring in bits.
+NARROWEST, WIDEST = 10, 30
+TILE = 512
+
+
+class Coder(NamedTuple):
+    mean: np.ndarray
+    rotation: np.ndarray  # width of the vectors x bits of a code
+    bits: int  # of a substring
+    radius: int  # of whole codes
+    sift: int  # of their leading 64 bits
 
 
 def learn_rotation(vectors: np.ndarray, seed: int) -> np.ndarray:
-    """ITQ: alternate codes B = sign(V R) and the rotation R nearest to V'B (orthogonal Procrustes).
-    Columns beyond the vectors' width come from further rotations, up to 64 bits.
-    """
+    """ITQ: alternate codes B = sign(V R) and the rotation R nearest to V'B (orthogonal Procrustes)."""
     rng = np.random.default_rng(seed)
     d = vectors.shape[1]
-    parts, width = [], 0
-    while width < 64:
-        rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        for _ in range(ROUNDS if len(vectors) else 0):
-            code = np.sign(vectors @ rotation)
-            u, _, vt = np.linalg.svd(vectors.T @ code)
-            rotation = u @ vt
-        parts.append(rotation)
-        width += d
-    return np.hstack(parts)[:, :64]
-
-
-def codes(vectors: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
-    """(n, tables) substrings of all codes."""
-    bits = np.hstack([(vectors @ r > 0) for r in rotations]).astype(np.uint8)
-    packed = np.packbits(bits, axis=1)
-    return packed.reshape(len(vectors), -1, SUBSTRING // 8).astype(np.uint32) @ (
-        256 ** np.arange(SUBSTRING // 8 - 1, -1, -1, dtype=np.uint32)
-    )
+    base = np.linalg.qr(rng.standard_normal((d, min(d, WIDE))))[0]
+    flat, width = vectors @ base, base.shape[1]
+    rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
+    for _ in range(ROUNDS if len(flat) else 0):
+        u, _, vt = np.linalg.svd(flat.T @ np.sign(flat @ rotation))
+        rotation = u @ vt
+    return base @ rotation
+
+
+def learn(vectors: np.ndarray, width: int, rows: int, cosine: float = COSINE) -> Coder:
+    """A coder for unit vectors of so many components, in a table of so many rows."""
+    rng = np.random.default_rng(width)
+    mean = vectors.mean(axis=0) if len(vectors) else np.zeros(width)
+    some = vectors[rng.permutation(len(vectors))[:1000]] if len(vectors) else rng.standard_normal((1000, width))
+    some = some / np.linalg.norm(some, axis=1, keepdims=True)
+    aside = rng.standard_normal(some.shape)
+    aside -= (aside * some).sum(axis=1, keepdims=True) * some
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    planted = cosine * some + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(aside, length, where=length > 0, out=np.zeros_like(aside))
+    bits = min(WIDEST, max(NARROWEST, math.ceil(math.log2(rows + 1))))
+    parts, have = [], 0
+    while True:
+        # rotations until all tables that may be needed have their bits
+        while have < bits * TABLES and (not parts or missed > MISS):
+            parts.append(learn_rotation(vectors - mean, len(parts)))
+            have += parts[-1].shape[1]
+            rotation = np.hstack(parts)
+            differ = ((some - mean) @ rotation > 0) != ((planted - mean) @ rotation > 0)
+            tables = min(TABLES, have // bits)
+            agree = ~differ[:, : tables * bits].reshape(len(some), tables, bits).any(axis=2)
+            missed = float(np.prod(1 - agree.mean(axis=0)))
+        if missed <= MISS or bits == NARROWEST:
+            break
+        bits, parts, have = bits - 1, [], 0
+    # as few tables as will do
+    chance = np.cumprod(1 - agree.mean(axis=0))
+    tables = max(1, min(tables, int(np.searchsorted(-chance, -MISS)) + 1))
+    differ = differ[:, : max(64, tables * bits)]
+
+    def radius(d: np.ndarray) -> int:
+        far = d.sum(axis=1)
+        return math.ceil(far.mean() + 5 * far.std() + 1)
+
+    return Coder(mean, rotation[:, : tables * bits], bits, radius(differ[:, : tables * bits]), radius(differ[:, : min(64, tables * bits)]))
 
 
-def _unit(raw: list) -> np.ndarray:
+def code(vectors: np.ndarray, coder: Coder) -> tuple[np.ndarray, np.ndarray]:
+    """(substrings (n, tables), leading 64 bits (n,)) of unit vectors."""
+    bits = ((vectors - coder.mean) @ coder.rotation > 0).astype(np.uint8)
+    weights = 1 << np.arange(coder.bits - 1, -1, -1, dtype=np.int64)
+    parts = bits.reshape(len(vectors), -1, coder.bits).astype(np.int64) @ weights
+    lead = np.zeros((len(vectors), 64), np.uint8)
+    lead[:, : min(64, bits.shape[1])] = bits[:, :64]
+    return parts, np.packbits(lead, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def _unit(raw) -> np.ndarray:
     v = np.stack([np.asarray(x, dtype=np.float64) for x in raw])
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _deal(rotations: dict[int, list[np.ndarray]]):
-    def deal(frames):
+@lru_cache(maxsize=8)
+def _unlearned(width: int, rows: int, cosine: float) -> Coder:
+    return learn(np.zeros((0, width)), width, rows, cosine)
+
+
+def _coded(coders: dict[int, Coder], rows: int, cosine: float):
+    def run(frames):
         for frame in frames:
-            for width, part in frame.groupby(frame["embedding"].map(len)):
-                vectors = _unit(part["embedding"].tolist())
-                keys = codes(vectors, rotations[width])
-                n, tables = keys.shape
-                whole = [k.tobytes() for k in keys.astype("<u2")]
-                raw = [v.tobytes() for v in vectors]
-                yield pd.DataFrame(
-                    {
-                        "cid": np.repeat(part["cid"].to_numpy(), tables),
-                        "n": np.repeat(part["n"].to_numpy(), tables),
-                        "label": np.repeat(part["label"].to_numpy(), tables),
-                        "width": width,
-                        "part": np.tile(np.arange(tables), n),
-                        "key": keys.ravel().astype(np.int64),
-                        "codes": [w for w in whole for _ in range(tables)],
-                        "vector": [r for r in raw for _ in range(tables)],
-                    }
-                )
-
-    return deal
+            subs, lead = np.empty(len(frame), object), np.zeros(len(frame), np.int64)
+            radius, bits, width = (np.zeros(len(frame), np.int32) for _ in range(3))
+            sizes = np.array([0 if v is None else len(v) for v in frame["embedding"]])
+            for w in np.unique(sizes[sizes > 0]).tolist():
+                mine = np.flatnonzero(sizes == w)
+                coder = coders.get(w) or _unlearned(w, rows, cosine)
+                parts, first = code(_unit(frame["embedding"].iloc[mine]), coder)
+                subs[mine] = list(parts.astype(np.int32))
+                lead[mine], width[mine], bits[mine], radius[mine] = first.view(np.int64), w, coder.bits, coder.radius
+                radius[mine] += coder.sift << 16
+            out = frame.drop(columns="embedding")
+            out["subs"], out["lead"], out["width"], out["bits"], out["radius"] = subs, lead, width, bits, radius
+            yield out
+
+    return run
+
+
+def _sides(run: pd.DataFrame):
+    """Places of the two sides that are compared, and whether they are one."""
+    side = run["side"].to_numpy()
+    return np.flatnonzero(side < 2), np.flatnonzero(side > 0), bool((side == 1).all())
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, bits: int, part: int) -> np.ndarray:
+    """Whether leading bits show that a pair agrees on a substring before this one."""
+    differ, seen = a ^ b, np.zeros(np.broadcast(a, b).shape, bool)
+    for k in range(min(part, 64 // bits)):
+        seen |= (differ >> np.uint64(64 - bits * (k + 1))) & np.uint64((1 << bits) - 1) == 0
+    return seen
+
+
+BUCKET = ["key", "tile_a", "tile_b"]
+
+
+def _sift(frames):
+    """Members that have another within the radius, as far as the leading bits tell, that no earlier table shows them."""
+    for run in runs(frames, BUCKET):
+        lead, (left, right, one) = run["lead"].to_numpy().view(np.uint64), _sides(run)
+        bits, part = int(run["bits"].iloc[0]), int(run["part"].iloc[0])
+        most = int(run["radius"].iloc[0]) >> 16
+        asked = np.zeros(len(run), bool)
+        for k in range(0, len(left), 256):
+            rows = left[k : k + 256]
+            a, b = lead[rows][:, None], lead[right][None, :]
+            near = (np.bitwise_count(a ^ b) <= most) & ~_met_before(a, b, bits, part)
+            if one:
+                near &= rows[:, None] != right[None, :]
+            asked[rows] |= near.any(axis=1)
+            asked[right] |= near.any(axis=0)
+        if asked.any():
+            yield run.loc[asked, [*BUCKET, "side", "part", "cid"]]
 
 
 def _compare(cosine: float):
     def compare(frames):
-        for run in _groups(frames):
-            part, ours, theirs = int(run["part"].iloc[0]), run["side"].to_numpy() < 2, run["side"].to_numpy() > 0
-            vectors = np.frombuffer(b"".join(run["vector"]), np.float64).reshape(len(run), -1)
-            keys = np.frombuffer(b"".join(run["codes"]), "<u2").reshape(len(run), -1)
+        for run in runs(frames, [*BUCKET, "label", "width"]):
+            left, right, one = _sides(run)
+            if not len(left) or not len(right):
+                continue
+            vectors, subs = _unit(run["embedding"]), np.stack(run["subs"])
+            part, most = int(run["part"].iloc[0]), int(run["radius"].iloc[0]) & 0xFFFF
             cid, size = run["cid"].to_numpy(), run["n"].to_numpy()
-            right = np.flatnonzero(theirs)
             counts, pairs = np.zeros(len(run), np.int64), []
-            left = np.flatnonzero(ours)
             for k in range(0, len(left), 256):
                 rows = left[k : k + 256]
                 close = vectors[rows] @ vectors[right].T >= cosine
-                # one tile against itself: each pair once; two tiles: every pair across
-                close &= (run["side"].to_numpy()[rows] != 1)[:, None] | (rows[:, None] < right[None, :])
+                if one:
+                    # each pair once
+                    close &= rows[:, None] < right[None, :]
                 i, j = np.nonzero(close)
                 i, j = rows[i], right[j]
-                if part:
-                    fresh = (keys[i, :part] != keys[j, :part]).all(axis=1)
-                    i, j = i[fresh], j[fresh]
+                differ = subs[i] ^ subs[j]
+                fine = (np.bitwise_count(differ).sum(axis=1) <= most) & (differ[:, :part] != 0).all(axis=1)
+                i, j = i[fine], j[fine]
                 np.add.at(counts, i, size[j])
                 np.add.at(counts, j, size[i])
                 pairs.append((i, j))
@@ -125,10 +218,8 @@ def _compare(cosine: float):
     return compare
 
 
-def _groups(frames):
-    from .simhash import runs
-
-    return runs(frames, ["label", "width", "part", "key", "tile_a", "tile_b"])
+def _in_buckets(frame: DataFrame) -> DataFrame:
+    return frame.repartition(*BUCKET).sortWithinPartitions(*BUCKET)
 
 
 def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -136,83 +227,40 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     whole = F.col("embedding")
-    rows = stage(
-        vectors.select(
-            F.col("vec_id").cast("long").alias("vec_id"),
-            F.col("label").cast("string").alias("label"),
-            F.coalesce(
-                F.col("label").isNotNull() & ~F.exists(whole, bad) & F.exists(whole, lambda x: x != 0), F.lit(False)
-            ).alias("valid"),
-            F.xxhash64(whole).alias("h1"),
-            F.xxhash64(F.lit(7), whole).alias("h2"),
-            whole.cast("array<double>").alias("embedding"),
-        ),
-        "vectors",
+    given = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("label").cast("string").alias("label"),
+        F.coalesce(F.col("label").isNotNull() & ~F.exists(whole, bad) & F.exists(whole, lambda x: x != 0), F.lit(False)).alias("valid"),
+        F.xxhash64(whole).alias("h1"),
+        F.xxhash64(F.lit(7), whole).alias("h2"),
+        whole,
     )
     same = ["label", "h1", "h2"]
+    coders, total = _learned(given.filter("valid"), cosine)
+    shown = given.withColumn("embedding", F.when(F.col("valid"), whole))
+    shape = "vec_id long, label string, valid boolean, h1 long, h2 long, subs array<int>, lead long, width int, bits int, radius int"
+    rows = stage(shown.mapInPandas(_coded(coders, total, cosine), shape), "coded")
+    about = ["subs", "lead", "width", "bits", "radius"]
     classes = stage(
         rows.filter("valid")
         .groupBy(*same)
-        .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+        .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in about])
         .withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    rotations = {}
-    total = classes.count()
-    share = min(1.0, TRAIN_ROWS / max(1, total))
-    spot = F.pmod(F.xxhash64("h1", "h2"), F.lit(1_000_000))
-    sample = classes.filter(spot < share * 1_000_000).select("embedding").limit(2 * TRAIN_ROWS).collect()
-    for (width,) in classes.select(F.size("embedding")).distinct().collect():
-        mine = [r[0] for r in sample if len(r[0]) == width]
-        known = _unit(mine) if mine else np.zeros((0, width))
-        known = known - known.mean(axis=0) if len(known) else known
-        rotations[width] = [learn_rotation(known, seed) for seed in range(ROTATIONS)]
-    dealt = stage(
-        classes.select("cid", "n", "label", "embedding").mapInPandas(
-            _deal(rotations),
-            "cid long, n long, label string, width int, part int, key long, codes binary, vector binary",
-        ),
-        "codes",
-    )
-    keys = ["label", "width", "part", "key"]
-    sizes = dealt.groupBy(*keys).count()
-    full = stage(sizes.filter("count > 1").withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int")).drop("count"), "buckets")
-    tile = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    meets = (
-        dealt.join(full, keys)
-        .withColumn("tile", tile)
-        .select(*keys, "cid", "n", "codes", "vector", "tile", F.explode(other).alias("other"))
-        .select(
-            *keys,
-            "cid",
-            "n",
-            "codes",
-            "vector",
-            F.least("tile", "other").alias("tile_a"),
-            F.greatest("tile", "other").alias("tile_b"),
-            # 1: the tile against itself, 0 and 2: the two sides of a pair of tiles
-            F.when(F.col("tile") == F.col("other"), 1).when(F.col("tile") < F.col("other"), 0).otherwise(2).alias("side"),
-        )
-    )
-    order = [*keys, "tile_a", "tile_b"]
-    found = stage(
-        meets.repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(cosine), "cid long, links long, low long"),
-        "links",
-    )
+    found = stage(_links(given, classes, cosine), "links")
     roots = connected_components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
     linked = (
-        classes.drop("embedding")
+        classes.select("cid", *same, "low", "n")
         .join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
         .join(roots, F.col("cid") == F.col("node"), "left")
         .select(*same, "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+        .filter("n_links > 0")
     )
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = linked.join(lowest, "root").filter("n_links > 0").select(*same, "n_links", "component_id")
-    out = rows.filter("valid").select("vec_id", *same).join(known, same, "left")
-    out = out.unionByName(
-        rows.filter("not valid").select("vec_id", *same, F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    )
+    known = stage(linked.join(lowest, "root").select(*same, "n_links", "component_id"), "linked")
+    valid = F.col("valid")
+    out = rows.select("vec_id", *[F.when(valid, F.col(c)).alias(c) for c in same]).join(checked_broadcast(known, 64), same, "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id",
@@ -220,3 +268,52 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def _learned(valid: DataFrame, cosine: float) -> tuple[dict[int, Coder], int]:
+    """Coders by width, from at most TRAIN_ROWS distinct vectors; and the number of rows."""
+    total = valid.count()
+    spot = F.pmod(F.xxhash64("h1", "h2"), F.lit(1_000_000))
+    sample = valid.filter(spot < 1_000_000 * min(1.0, TRAIN_ROWS / max(1, total))).dropDuplicates(["h1", "h2"])
+    by_width: dict[int, list] = {}
+    for (v,) in sample.limit(TRAIN_ROWS).select("embedding").collect():
+        by_width.setdefault(len(v), []).append(v)
+    return {w: learn(_unit(x), w, total, cosine) for w, x in by_width.items()}, total
+
+
+def _links(given: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """(cid, links, low): links a class gains in a bucket, and a star of its component there."""
+    key = F.xxhash64("label", "width", "part", "sub").alias("key")
+    # keys of all tables; what a bucket needs of a member is 64 bits of its code
+    dealt = classes.select("cid", "lead", "bits", "radius", "label", "width", F.posexplode("subs").alias("part", "sub")).select(
+        key, "cid", "lead", "bits", "radius", "part"
+    )
+    large = stage(dealt.groupBy("key").count().filter(F.col("count") > TILE), "large")
+    tiles = large.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    split = dealt.join(checked_broadcast(tiles, 32), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    # tiles by a hash other than the one that deals out rows
+    tiled = split.withColumn("tile", F.pmod(F.xxhash64(F.lit(11), "cid"), F.col("tiles")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    )
+    meets = tiled.select(
+        "key", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+        # 1: the tile against itself, 0 and 2: the two sides of a pair of tiles
+        F.when(F.col("tile") == F.col("other"), 1).when(F.col("tile") < F.col("other"), 0).otherwise(2).alias("side"),
+        "part", "cid", "lead", "bits", "radius",
+    )
+    asked = stage(_in_buckets(meets).mapInPandas(_sift, "key long, tile_a int, tile_b int, side int, part int, cid long"), "asked")
+    wanted = stage(classes.join(checked_broadcast(asked.select("cid").distinct(), 16), "cid", "left_semi").drop("lead", "bits"), "wanted")
+    ids = wanted.select("cid", *[F.col(c).alias(f"_{c}") for c in ("label", "h1", "h2", "low")])
+    # of a class's rows those with its lowest id: a vector with many copies is read, not gathered
+    same = [F.col(c) == F.col(f"_{c}") for c in ("label", "h1", "h2")]
+    fetched = (
+        given.filter("valid")
+        .select("label", "h1", "h2", "vec_id", "embedding")
+        .join(checked_broadcast(ids, 64), [*same, F.col("vec_id").eqNullSafe(F.col("_low"))])
+        .groupBy("cid")
+        .agg(F.first("embedding").alias("embedding"))
+    )
+    members = stage(wanted.select("cid", "n", "label", "width", "subs", "radius").join(fetched, "cid"), "members")
+    placed = asked.join(checked_broadcast(members, 1 << 10), "cid")
+    order = [*BUCKET, "label", "width"]
+    return placed.repartition(*BUCKET).sortWithinPartitions(*order).mapInPandas(_compare(cosine), "cid long, links long, low long")

@@ -22,8 +22,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b), in any direction, loops allowed -> (node, root), root the smallest node
-    reachable, for every node but roots. Every round is a written table; one count and one hash
-    sum come to the driver. Rounds grow with the logarithm of the longest chain.
+    reachable, for every node but roots. Every round is a written table; one count and two sums of
+    128 bits of hashes come to the driver, and equal ones end the rounds. Rounds grow with the
+    logarithm of the longest chain.
     """
     spark = edges.sparkSession
     now = stage(
@@ -33,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         then, now = now, stage(_small_star(_large_star(now)), "stars")
         unstage(spark, then)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        hashes = (F.xxhash64("a", "b"), F.xxhash64(F.lit(1), "b", "a"))
+        mark = now.agg(F.count("*"), *[F.sum(h.cast("decimal(20,0)")) for h in hashes]).first()
         if not mark[0] or mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
