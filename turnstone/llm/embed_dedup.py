@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -45,7 +46,7 @@ WIDE = 256
 MISS, TABLES = 0.003, 64
 #: Widths of a substring in bits.
 NARROWEST, WIDEST = 10, 30
-TILE = 512
+TILE = 256
 
 
 class Coder(NamedTuple):
@@ -164,23 +165,54 @@ def _met_before(a: np.ndarray, b: np.ndarray, bits: int, part: int) -> np.ndarra
 BUCKET = ["key", "tile_a", "tile_b"]
 
 
+def _whole_runs(frames, keys: list[str]):
+    """Frames sorted by keys -> (columns as arrays, first and last place of each run of two or more); no run is cut."""
+    held = None
+    for frame in chain(frames, [None]):
+        if frame is not None:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        change = np.ones(len(held), bool)
+        change[1:] = False
+        for k in keys:
+            v = held[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(change)
+        whole = len(held) if frame is None else int(starts[-1])
+        ends = np.r_[starts[1:], len(held)]
+        fine = (ends <= whole) & (ends - starts > 1)
+        if fine.any():
+            yield {c: held[c].to_numpy()[:whole] for c in held}, starts[fine], ends[fine]
+        held = held.iloc[whole:]
+
+
 def _sift(frames):
     """Members that have another within the radius, as far as the leading bits tell, that no earlier table shows them."""
-    for run in runs(frames, BUCKET):
-        lead, (left, right, one) = run["lead"].to_numpy().view(np.uint64), _sides(run)
-        bits, part = int(run["bits"].iloc[0]), int(run["part"].iloc[0])
-        most = int(run["radius"].iloc[0]) >> 16
-        asked = np.zeros(len(run), bool)
-        for k in range(0, len(left), 256):
-            rows = left[k : k + 256]
-            a, b = lead[rows][:, None], lead[right][None, :]
-            near = (np.bitwise_count(a ^ b) <= most) & ~_met_before(a, b, bits, part)
-            if one:
-                near &= rows[:, None] != right[None, :]
-            asked[rows] |= near.any(axis=1)
-            asked[right] |= near.any(axis=0)
+    for have, starts, ends in _whole_runs(frames, BUCKET):
+        lead, side, radius = have["lead"].view(np.uint64), have["side"], have["radius"] >> 16
+        asked = np.zeros(len(lead), bool)
+        # runs of two at once, by substring width and table
+        two = starts[(ends - starts == 2) & ((side[starts] == 1) | (side[starts] != side[ends - 1]))]
+        kinds = have["bits"][two].astype(np.int64) << 32 | have["part"][two]
+        for kind in np.unique(kinds).tolist():
+            at = two[kinds == kind]
+            near = (np.bitwise_count(lead[at] ^ lead[at + 1]) <= radius[at]) & ~_met_before(lead[at], lead[at + 1], kind >> 32, kind & 0xFFFFFFFF)
+            asked[at[near]] = asked[at[near] + 1] = True
+        for start, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            mine = side[start:end]
+            left, right, one = np.flatnonzero(mine < 2), np.flatnonzero(mine > 0), bool((mine == 1).all())
+            bits, part, most = int(have["bits"][start]), int(have["part"][start]), int(radius[start])
+            for k in range(0, len(left), 256):
+                rows = left[k : k + 256]
+                a, b = lead[start + rows][:, None], lead[start + right][None, :]
+                near = (np.bitwise_count(a ^ b) <= most) & ~_met_before(a, b, bits, part)
+                if one:
+                    near &= rows[:, None] != right[None, :]
+                asked[start + rows] |= near.any(axis=1)
+                asked[start + right] |= near.any(axis=0)
         if asked.any():
-            yield run.loc[asked, [*BUCKET, "side", "part", "cid"]]
+            yield pd.DataFrame({c: have[c][asked] for c in [*BUCKET, "side", "part", "cid"]})
 
 
 def _compare(cosine: float):
