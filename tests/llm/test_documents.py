@@ -71,9 +71,13 @@ def brute_entropy(text):
         hit, spans = m[0], []
         if any(re.search(p, hit) for p in secret_scan.ALLOW):
             continue
-        least = secret_scan.HEX_BITS if re.fullmatch("[0-9A-Fa-f]+", hit) else secret_scan.WIDE_BITS
+        bad = [f.span() for f in re.finditer(secret_scan.FRAGMENT.replace("}+", "}"), hit)]
         for i in range(len(hit) - 19):
-            share = np.array(list(Counter(hit[i : i + 20]).values())) / 20
+            window = hit[i : i + 20]
+            if any(a < i + 20 and i < b for a, b in bad) or not re.search("[A-Za-z]", window):
+                continue
+            least = secret_scan.HEX_BITS if re.fullmatch("[0-9A-Fa-f]+", window) else secret_scan.WIDE_BITS
+            share = np.array(list(Counter(window).values())) / 20
             if -(share * np.log2(share)).sum() >= least - 1e-9:
                 if spans and i <= spans[-1][1]:
                     spans[-1][1] = i + 20
@@ -90,6 +94,27 @@ def test_secrets(nasty):
     assert any("entropy" in s for _, s in want)
 
 
+def test_windows_beside_an_allowed_fragment_are_searched(spark):
+    key = "q8Zr2LmX9vT4sKe7Wp1Bn5cY3u"
+    texts = [f"/{key}/xxxxxxxx/{key}", f"example{key}", f"{key}00000000", "kQwZmPxRtYvBnLsDfGhJcE", "12345678901234567890123", "deadbeefcafe" * 3 + "Z" * 30]
+    texts += ["".join(np.random.default_rng(i).choice(list("abcdefABCDEF0123456789+/_-xyzXYZ"), 300)) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scan.scan_secrets(docs).select("doc_id", secret_scan.joined(F.filter("spans", lambda x: x["kind"] == "entropy")).alias("s"))
+    want = [(i, spans_digest(brute_entropy(t), secret_scan.KINDS)) for i, t in enumerate(texts)]
+    assert rows_of(got) == sorted(want, key=repr)
+    assert all(s for i, s in want if i < 4) and not want[4][1]
+
+
+def test_texts_full_of_hits_take_seconds(spark):
+    import time
+
+    hits = " ".join(f"{i:020x} token=Zx9Qw3Er7Ty1Ui5Op8As{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, hits)], "doc_id long, text string")
+    began = time.time()
+    got = secret_scan.scan_secrets(docs).select(F.expr("aggregate(spans, 0, (n, x) -> n + int(x.kind = 'hex'))"), F.size("spans")).first()
+    assert got[0] == 20_000 and got[1] > 40_000 and time.time() - began < 120
+
+
 def test_allow_list_suppresses_only_entropy(spark):
     docs = spark.createDataFrame([(1, "key q8Zr2LmX9vT4sKe7Wp1Bn5 deadbeefdeadbeef12")], "doc_id long, text string")
     all_, some = (

@@ -68,6 +68,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 SPANS = "array<struct<start:int,end:int,hit:string>>"
 
 
+#: Elements that a fold appends one by one before it puts a block of them away.
+BLOCK = 128
+
+
+def fold(items: Column, start: Column, step, shape: str) -> Column:
+    """Run step(state, item) -> (state, emitted) over an array from `start` on and collect what is
+    emitted, of type `shape`. An array grows by copying, so items are folded in blocks of BLOCK and
+    the blocks joined at the end: the cost stays in proportion to the array.
+    """
+    none = F.array().cast(f"array<{shape}>")
+
+    def one(acc, x):
+        return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["emit"])).alias("out")))
+
+    def block(acc, part):
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def blocked(whole):
+        count = F.ceil(F.size(whole) / BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)))
+        first = F.struct(start.alias("state"), F.array().cast(f"array<array<{shape}>>").alias("out"))
+        return F.when(count > 0, F.flatten(F.aggregate(parts, first, block, lambda acc: acc["out"]))).otherwise(none)
+
+    return let(items, blocked)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern that never matches the empty string: an
     array of (start, end, hit) in code points. What lies between matches (split) gives the places.
@@ -75,15 +102,14 @@ def located(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("skip"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["skip"]
+    def step(at, x):
+        begin = at + x["skip"]
         end = begin + F.length(x["hit"])
         span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("state"), span.alias("emit"))
 
-    walked = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+    walked = fold(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.lit(0), step, "struct<start:int,end:int,hit:string>")
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPANS))
 
 
