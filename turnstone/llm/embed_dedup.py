@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, stage
 from .graph import connected_components
-from .simhash import components, runs
+from .simhash import components, runs, whole_runs
 
 COSINE = 0.98
 #: Vectors the rotations are learned on, at most.
@@ -165,31 +164,9 @@ def _met_before(a: np.ndarray, b: np.ndarray, bits: int, part: int) -> np.ndarra
 BUCKET = ["key", "tile_a", "tile_b"]
 
 
-def _whole_runs(frames, keys: list[str]):
-    """Frames sorted by keys -> (columns as arrays, first and last place of each run of two or more); no run is cut."""
-    held = None
-    for frame in chain(frames, [None]):
-        if frame is not None:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if held is None or not len(held):
-            continue
-        change = np.ones(len(held), bool)
-        change[1:] = False
-        for k in keys:
-            v = held[k].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(change)
-        whole = len(held) if frame is None else int(starts[-1])
-        ends = np.r_[starts[1:], len(held)]
-        fine = (ends <= whole) & (ends - starts > 1)
-        if fine.any():
-            yield {c: held[c].to_numpy()[:whole] for c in held}, starts[fine], ends[fine]
-        held = held.iloc[whole:]
-
-
 def _sift(frames):
     """Members that have another within the radius, as far as the leading bits tell, that no earlier table shows them."""
-    for have, starts, ends in _whole_runs(frames, BUCKET):
+    for have, starts, ends in whole_runs(frames, BUCKET):
         lead, side, radius = have["lead"].view(np.uint64), have["side"], have["radius"] >> 16
         asked = np.zeros(len(lead), bool)
         # runs of two at once, by substring width and table

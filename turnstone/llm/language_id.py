@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import give_back, mix64
 
 #: Documents of each language the model is fitted on, about.
 SAMPLE_PER_LANG = 3000
@@ -248,6 +248,7 @@ def identify(docs: DataFrame, model: BackoffModel | None = None) -> DataFrame:
             best, score = own.scores(batch.column("text"))
             columns = [batch.column("doc_id"), batch.column("held_out"), names.take(pa.array(np.where(best < 0, len(own.langs), best)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            give_back()
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return ready.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double").withColumn(
@@ -265,6 +266,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         if not held:
             held.append(BackoffModel(*shared.value))
         best, score = held[0].scores(text)
+        give_back()
         return pa.array((best >= 0) & (score >= ACCEPT))
 
     return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).filter(accepted(F.col("text")))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import give_back, stage
 
 WINDOW = 4096
 END_ID = 2
@@ -275,6 +275,8 @@ def _tokenize(path: str, run: str):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [c.split()[0] for c in TOKENS.split(", ")]
                 )
+            del ids, sizes, rows, places, coded, queue, columns
+            give_back()
 
     return tokenize
 
@@ -374,6 +376,8 @@ def _cut(order: list[str], lengths: list[int]):
     names = pa.array(order, pa.string())
 
     def cut(batches):
+        # the words of this worker are not needed any more
+        word_ids.cache_clear()
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
@@ -396,6 +400,7 @@ def _cut(order: list[str], lengths: list[int]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [c.split()[0] for c in PIECES.split(", ")]
                     )
+            give_back()
 
     return cut
 

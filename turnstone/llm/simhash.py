@@ -14,7 +14,7 @@ fingerprint and so a component. A null doc_id sorts above every other. Other col
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -131,6 +131,28 @@ def runs(frames, keys: list[str]):
         yield held
 
 
+def whole_runs(frames, keys: list[str]):
+    """Frames sorted by keys -> (columns as arrays, first and last place of each run of two or more); no run is cut."""
+    held = None
+    for frame in chain(frames, [None]):
+        if frame is not None:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        change = np.ones(len(held), bool)
+        change[1:] = False
+        for k in keys:
+            v = held[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(change)
+        whole = len(held) if frame is None else int(starts[-1])
+        ends = np.r_[starts[1:], len(held)]
+        fine = (ends <= whole) & (ends - starts > 1)
+        if fine.any():
+            yield {c: held[c].to_numpy()[:whole] for c in held}, starts[fine], ends[fine]
+        held = held.iloc[whole:]
+
+
 def _stars(frames):
     for run in runs(frames, ["part", "key", "third", "sub"]):
         prints = run["fp"].to_numpy().view(np.uint64)
