@@ -1,15 +1,20 @@
 """PII by bootstrapped contextual extraction, native.
 
-Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the seeds. The words
-around a seed (two before, one after; two before alone) are lexical patterns. Identifier-like tokens
-(four or more digits, or an @) that no seed covers are candidates, with the patterns around them. Spark holds the
-bipartite graph of patterns and instances as a table and scores it in ROUNDS: a pattern's
-confidence is the mean score of its distinct instances, an instance's score the highest confidence
-of its supported patterns; seeds score 1. Tokens in patterns with confidence of CONFIDENT or more and
-SUPPORT or more distinct seeds are found as kind `context`.
-
-Null text counts as empty. Rows are scanned one by one; a repeated row gets the same spans.
-Other columns are ignored; an empty table gives an empty result.
+Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the seeds. Words with two
+or more digits or an @ that no seed covers are candidates. Seeds and candidates are instances; what
+stands around one gives its lexical patterns, letters in lower case and digits as 0: the two words
+before it, the word before it, the words on both sides, and a label written to it (`tel:`).
+
+Spark holds the bipartite graph of patterns and instances as a table and scores it in ROUNDS rounds. A
+pattern's confidence is the sum of its distinct instances' scores over their number and the number of
+places where it surrounds an ordinary word (counted over all words of the corpus). A pattern with
+SUPPORT instances that are seeds or found, and confidence of CONFIDENT, is trusted; an instance's
+score is the chance that not all its trusted patterns err. So what a round has found supports patterns
+that no seed has, and these find more in the next. Candidates in trusted patterns are kind `context`.
+
+Null text counts as empty. Rows are scanned one by one; a repeated row gets the same spans. Words,
+however long, are whole, and the cost of a text grows with its length. Other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, located, stage, whole_text
+from .common import checked_broadcast, fold, let, located, stage, whole_text
 
 # Fixed values of the contract. Possessive forms that match the same strings: nothing they could
 # give back is followed by anything that could match it.
@@ -27,13 +32,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 EDGE = r"^[\p{Punct}]+|[\p{Punct}]+$"
-ROUNDS = 3
+#: A label written to what it names.
+LABEL = r"(?<!\S)[A-Za-z_-]++[:=#]++(?=\S)"
+ROUNDS = 4
 CONFIDENT = 0.8
 SUPPORT = 3
-#: Characters looked at beside a token for its two words before and one after.
-BEFORE, AFTER = 80, 40
 
 
 def _octets(hit: Column) -> Column:
@@ -57,19 +61,27 @@ def _digits(hit: Column) -> Column:
     return F.length(F.regexp_replace(hit, "[^0-9]", ""))
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a place, letters in lower case, digits as 0; none where no word stands before."""
-    cut = F.greatest(start - BEFORE, F.lit(0))
-    before = F.translate(F.lower(text.substr(cut + 1, start - cut)), "123456789", "000000000")
-    after = F.translate(F.lower(text.substr(end + 1, F.lit(AFTER))), "123456789", "000000000")
-    left = F.regexp_extract(before, r"((?:\S{1,40}\s+)?\S{1,40})\s*$", 1)
-    right = F.regexp_extract(after, r"^[\p{Punct}]*\s*(\S+)", 1)
-    left = F.regexp_replace(left, r"\s+", " ")
-    return F.when(left == "", F.array().cast("array<string>")).otherwise(
-        F.array(F.concat(left, F.lit(" _")), F.concat(left, F.lit(" _ "), right))
+def _plain(word: Column) -> Column:
+    return F.translate(F.lower(word), "123456789", "000000000")
+
+
+def _patterns(before: Column, left: Column, right: Column, label: Column) -> Column:
+    """Hashes of the lexical patterns around a place; those with a word that is not there are left out."""
+    both = lambda a, b, x: F.when(a.isNotNull() & b.isNotNull(), x)
+    return F.array_compact(
+        F.array(
+            both(before, left, F.xxhash64(F.lit(1), before, left)),
+            F.when(left.isNotNull(), F.xxhash64(F.lit(2), left)),
+            both(left, right, F.xxhash64(F.lit(3), left, right)),
+            F.when(label != "", F.xxhash64(F.lit(4), label)),
+        )
     )
 
 
+def _at(words: Column, i: Column) -> Column:
+    return F.when(i >= 0, F.get(words, i))
+
+
 def base_spans(text: Column) -> list[Column]:
     """Spans of email, ip, card and phone, failing matches dropped."""
     return [
@@ -80,103 +92,168 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
+SPAN = "struct<start:int,end:int,value:bigint,patterns:array<bigint>>"
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, base (rank, start, end, patterns, value), candidates (start, end, value, patterns)."""
-    text = F.col("body")
+    """row_id, doc_id, base (rank, start, end), seeds and candidates (start, end, value, patterns)."""
     body = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         whole_text().alias("body"),
     )
-    names = list(KINDS[:4])
-    found = body.select(
-        "row_id", "doc_id", "body", *[c.alias(n) for n, c in zip(names, base_spans(text), strict=True)],
-        located(text, CANDIDATE).alias("tokens"),
-    )
-    seeds = lambda name, rank: F.transform(
-        F.col(name),
-        lambda x: F.struct(
-            F.lit(rank).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("value"),
-            _patterns(text, x["start"], x["end"]).alias("patterns"),
-        ),
-    )
-    base = F.concat(*[seeds(n, rank) for rank, n in enumerate(names)])
-    found = found.withColumn("base", base)
-    shaped = F.filter(
-        F.transform(
-            "tokens",
-            lambda x: F.struct(
-                (x["start"] + F.length(F.regexp_extract(x["hit"], r"^[\p{Punct}]*", 0))).alias("start"),
-                F.regexp_replace(x["hit"], EDGE, "").alias("value"),
-            ),
-        ),
-        lambda x: (_digits(x["value"]) >= 4) | x["value"].rlike(r"\S@\S"),
-    )
-    free = F.filter(
-        shaped,
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["start"] + F.length(x["value"])) & (x["start"] < b["end"])),
+    named = list(KINDS[:4])
+    found = body.select("row_id", "doc_id", "body", *[c.alias(n) for n, c in zip(named, base_spans(F.col("body")), strict=True)])
+    ranked = lambda name, rank: F.transform(
+        name, lambda x: F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
     )
+    found = found.select("row_id", "doc_id", "body", F.array_sort(F.concat(*[ranked(n, r) for r, n in enumerate(named)])).alias("hits"))
+    none = F.array().cast(f"array<{SPAN}>")
+    # only a text with a digit or an @ has an instance
+    places = F.when(F.col("body").rlike("[0-9@]"), let(located(F.col("body"), r"\S++"), lambda w: _places(w, F.col("hits"))))
     return found.select(
-        "row_id", "doc_id", F.array_sort("base").alias("base"),
-        F.transform(
-            free,
-            lambda x: F.struct(
-                x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), F.lower(x["value"]).alias("value"),
-                _patterns(text, x["start"], x["start"] + F.length(x["value"])).alias("patterns"),
-            ),
-        ).alias("candidates"),
+        "row_id", "doc_id",
+        F.transform("hits", lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"),
+        places.alias("places"),
+    ).select(
+        "row_id", "doc_id", "base", F.coalesce("places.seeds", none).alias("seeds"), F.coalesce("places.candidates", none).alias("candidates")
     )
 
 
-def score_patterns(edges: DataFrame) -> DataFrame:
-    """edges (pattern, instance, seed) distinct -> pattern, confidence, support, after ROUNDS rounds."""
-    scores = edges.select("pattern", "instance", F.col("seed").cast("double").alias("score"), "seed")
-    patterns = None
+def _places(words: Column, base: Column) -> Column:
+    """Seeds and candidates with their patterns. Words and seeds are gone through together in order of
+    their start: a seed stands at the last word that begins before it, and covers what reaches beyond."""
+    event = lambda start, order, end, at: F.struct(
+        start.alias("start"), F.lit(order).alias("order"), end.alias("end"), at.cast("int").alias("at")
+    )
+    events = F.array_sort(
+        F.concat(
+            F.transform(words, lambda w, i: event(w["start"], 0, w["end"], i)),
+            F.transform(base, lambda b, i: event(b["start"], 1, b["end"], i)),
+        )
+    )
+    shape = "struct<word:int,seed:int,covered:boolean>"
+
+    def step(state, x):
+        seed = x["order"] == 1
+        word = F.when(seed, state["word"]).otherwise(x["at"])
+        till = F.when(seed, F.greatest(state["till"], x["end"])).otherwise(state["till"])
+        emit = F.struct(word.alias("word"), F.when(seed, x["at"]).alias("seed"), (seed | (state["till"] > x["start"])).alias("covered"))
+        return F.struct(F.struct(word.alias("word"), till.alias("till")).alias("state"), emit.alias("emit"))
+
+    walked = fold(events, F.struct(F.lit(-1).alias("word"), F.lit(-1).alias("till")), step, shape)
+    plain = F.transform(words, lambda w: _plain(w["hit"]))
+
+    def seeds(gone, known):
+        def seed(x):
+            b, w = F.get(base, x["seed"]), F.get(words, x["word"])
+            label = F.lower(F.substring(w["hit"], F.lit(1), b["start"] - w["start"]))
+            after = x["word"] + F.size(F.split(b["hit"], r"\s+"))
+            patterns = _patterns(
+                _at(known, x["word"] - 2), _at(known, x["word"] - 1), _at(known, after), F.when(label.rlike(r"^[a-z_-]+[:=#]+$"), label)
+            )
+            return F.struct(
+                b["start"].alias("start"), b["end"].alias("end"), F.xxhash64(F.lower(b["hit"])).alias("value"), patterns.alias("patterns")
+            )
+
+        return F.transform(F.filter(gone, lambda x: x["seed"].isNotNull()), seed)
+
+    def candidates(gone, known):
+        covered = F.transform(F.filter(gone, lambda x: x["covered"]), lambda x: x["word"])
+        likely = F.filter(
+            F.transform(words, lambda w, i: F.when(w["hit"].rlike(r"[0-9][^0-9]*+[0-9]|\S@\S"), i.cast("int"))), lambda i: i.isNotNull()
+        )
+
+        def candidate(i):
+            w = F.get(words, i)
+            label = F.regexp_extract(w["hit"], LABEL, 0)
+            rest = F.substring(w["hit"], F.length(label) + 1, F.length(w["hit"]))
+            value = F.regexp_replace(rest, EDGE, "")
+            start = w["start"] + F.length(label) + F.length(F.regexp_extract(rest, r"^[\p{Punct}]*", 0))
+            patterns = _patterns(_at(known, i - 2), _at(known, i - 1), _at(known, i + 1), F.lower(label))
+            return F.struct(
+                start.alias("start"), (start + F.length(value)).alias("end"), F.xxhash64(F.lower(value)).alias("value"), patterns.alias("patterns")
+            )
+
+        return F.filter(F.transform(F.array_except(likely, covered), candidate), lambda x: x["end"] > x["start"])
+
+    return let(
+        F.struct(walked.alias("walked"), plain.alias("plain")),
+        lambda z: F.struct(seeds(z["walked"], z["plain"]).alias("seeds"), candidates(z["walked"], z["plain"]).alias("candidates")),
+    )
+
+
+def _surroundings(docs: DataFrame) -> DataFrame:
+    """pattern: one row for each pattern at each word of the corpus."""
+    words = F.filter(F.split(_plain(whole_text()), r"\s+"), lambda w: w != "")
+    around = lambda ws: F.flatten(
+        F.transform(ws, lambda w, i: _patterns(_at(ws, i - 2), _at(ws, i - 1), _at(ws, i + 1), F.lit("")))
+    )
+    labels = F.transform(
+        F.when(whole_text().rlike(LABEL), F.regexp_extract_all(whole_text(), F.lit(LABEL), F.lit(0))).otherwise(F.array().cast("array<string>")),
+        lambda x: F.xxhash64(F.lit(4), F.lower(x)),
+    )
+    return docs.select(F.explode(F.concat(let(words, around), labels)).alias("pattern"))
+
+
+def score_patterns(edges: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """edges (pattern, instance, seed) distinct, ordinary (pattern, ordinary) -> trusted patterns (pattern, confidence)."""
+    scores = edges.filter("seed").select("instance", F.lit(1.0).alias("score")).distinct()
+    trusted = None
     for _ in range(ROUNDS):
-        patterns = stage(
-            scores.groupBy("pattern").agg(
-                F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support")
-            ),
-            "patterns",
+        known = edges.join(scores, "instance", "left").select("pattern", F.coalesce("score", F.lit(0.0)).alias("score"))
+        sums = known.groupBy("pattern").agg(
+            F.sum("score").alias("sum"), F.count("*").alias("n"), F.count_if(F.col("score") >= CONFIDENT).alias("support")
         )
-        usable = patterns.filter(F.col("support") >= SUPPORT).select("pattern", "confidence")
-        best = edges.filter("not seed").join(usable, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        others = edges.filter("not seed").join(best, "instance", "left")
-        scores = edges.filter("seed").select("pattern", "instance", F.lit(1.0).alias("score"), "seed").unionByName(
-            others.select("pattern", "instance", F.coalesce("best", F.lit(0.0)).alias("score"), "seed")
+        confidence = F.col("sum") / (F.col("n") + F.coalesce("ordinary", F.lit(0)))
+        trusted = stage(
+            sums.filter(F.col("support") >= SUPPORT)
+            .join(ordinary, "pattern", "left")
+            .select("pattern", confidence.alias("confidence"))
+            .filter(F.col("confidence") >= CONFIDENT),
+            "trusted",
         )
-    return patterns
+        doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.99))))
+        found = edges.filter("not seed").join(trusted, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
+        seeds = edges.filter("seed").select("instance", F.lit(1.0).alias("score"))
+        scores = stage(seeds.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")), "scores")
+    return trusted
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, spans: array of (rank, kind, start, end) by kind, then start."""
     rows = stage(_scanned(docs), "pii")
-    seeds = rows.select(F.explode("base").alias("x")).select(
-        F.explode("x.patterns").alias("pattern"), F.lower("x.value").alias("instance"), F.lit(True).alias("seed")
-    )
-    places = rows.select("row_id", F.explode("candidates").alias("x")).select(
-        "row_id", "x.start", "x.end", "x.value", F.explode("x.patterns").alias("pattern")
+    instances = lambda name, seed: rows.select(F.explode(name).alias("x")).select(
+        F.explode("x.patterns").alias("pattern"), F.col("x.value").alias("instance"), F.lit(seed).alias("seed")
     )
-    # only patterns that some seed has can gain confidence
-    shared = stage(seeds.select("pattern").distinct(), "seed-patterns")
-    near = places.join(checked_broadcast(shared, 120), "pattern", "left_semi")
-    edges = stage(
-        seeds.unionByName(near.select("pattern", F.col("value").alias("instance"), F.lit(False).alias("seed"))).distinct(),
-        "pii-edges",
+    # a pattern of few instances can never gain support; places are counted with their instances
+    seen = instances("seeds", True).unionByName(instances("candidates", False)).groupBy("pattern", "instance").agg(
+        F.max("seed").alias("seed"), F.count("*").alias("n")
+    )
+    linked = stage(seen, "pii-edges")
+    usable = stage(
+        linked.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("places")).filter(F.col("instances") >= SUPPORT), "usable"
     )
-    trusted = stage(
-        score_patterns(edges).filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern"),
-        "trusted",
+    edges = stage(linked.join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").drop("n"), "edges")
+    total = _surroundings(docs).join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").groupBy("pattern").agg(
+        F.count("*").alias("total")
+    )
+    ordinary = stage(
+        usable.join(total, "pattern", "left").select("pattern", F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0)).alias("ordinary")),
+        "ordinary",
     )
-    gained = (
-        places.join(checked_broadcast(trusted, 120), "pattern", "left_semi")
+    trusted = score_patterns(edges, ordinary).select("pattern")
+    places = rows.select("row_id", F.explode("candidates").alias("x")).select("row_id", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
+    gained = stage(
+        places.join(checked_broadcast(trusted, 40), "pattern", "left_semi")
         .groupBy("row_id")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more")),
+        "gained",
     )
     named = lambda x, rank: F.struct(
         rank.alias("rank"), F.element_at(F.array(*map(F.lit, KINDS)), rank + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")
     )
-    return rows.join(gained, "row_id", "left").select(
+    return rows.join(checked_broadcast(gained, 256), "row_id", "left").select(
         "doc_id",
         F.concat(
             F.transform("base", lambda x: named(x, x["rank"])),
