@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 EDGE = r"^[\p{Punct}]+|[\p{Punct}]+$"
 #: A label written to what it names.
 LABEL = r"(?<!\S)[A-Za-z_-]++[:=#]++(?=\S)"
+#: Words that may be an identifier.
+LIKELY = r"[0-9][^0-9\s]*+[0-9]|\S@\S"
 ROUNDS = 4
 CONFIDENT = 0.8
 SUPPORT = 3
@@ -79,7 +81,7 @@ def _patterns(before: Column, left: Column, right: Column, label: Column) -> Col
 
 
 def _at(words: Column, i: Column) -> Column:
-    return F.when(i >= 0, F.get(words, i))
+    return F.when(i >= 0, _plain(F.get(words, i)["hit"]))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -109,8 +111,9 @@ def _scanned(docs: DataFrame) -> DataFrame:
     )
     found = found.select("row_id", "doc_id", "body", F.array_sort(F.concat(*[ranked(n, r) for r, n in enumerate(named)])).alias("hits"))
     none = F.array().cast(f"array<{SPAN}>")
-    # only a text with a digit or an @ has an instance
-    places = F.when(F.col("body").rlike("[0-9@]"), let(located(F.col("body"), r"\S++"), lambda w: _places(w, F.col("hits"))))
+    # only a text with a seed or a candidate is cut into words
+    some = (F.size("hits") > 0) | F.col("body").rlike(LIKELY)
+    places = F.when(some, let(located(F.col("body"), r"\S++"), lambda w: _places(w, F.col("hits"))))
     return found.select(
         "row_id", "doc_id",
         F.transform("hits", lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"),
@@ -141,16 +144,17 @@ def _places(words: Column, base: Column) -> Column:
         emit = F.struct(word.alias("word"), F.when(seed, x["at"]).alias("seed"), (seed | (state["till"] > x["start"])).alias("covered"))
         return F.struct(F.struct(word.alias("word"), till.alias("till")).alias("state"), emit.alias("emit"))
 
-    walked = fold(events, F.struct(F.lit(-1).alias("word"), F.lit(-1).alias("till")), step, shape)
-    plain = F.transform(words, lambda w: _plain(w["hit"]))
+    walked = F.when(
+        F.size(base) > 0, F.filter(fold(events, F.struct(F.lit(-1).alias("word"), F.lit(-1).alias("till")), step, shape), lambda x: x["covered"])
+    ).otherwise(F.array().cast(f"array<{shape}>"))
 
-    def seeds(gone, known):
+    def seeds(gone):
         def seed(x):
             b, w = F.get(base, x["seed"]), F.get(words, x["word"])
             label = F.lower(F.substring(w["hit"], F.lit(1), b["start"] - w["start"]))
             after = x["word"] + F.size(F.split(b["hit"], r"\s+"))
             patterns = _patterns(
-                _at(known, x["word"] - 2), _at(known, x["word"] - 1), _at(known, after), F.when(label.rlike(r"^[a-z_-]+[:=#]+$"), label)
+                _at(words, x["word"] - 2), _at(words, x["word"] - 1), _at(words, after), F.when(label.rlike(r"^[a-z_-]+[:=#]+$"), label)
             )
             return F.struct(
                 b["start"].alias("start"), b["end"].alias("end"), F.xxhash64(F.lower(b["hit"])).alias("value"), patterns.alias("patterns")
@@ -158,11 +162,9 @@ def _places(words: Column, base: Column) -> Column:
 
         return F.transform(F.filter(gone, lambda x: x["seed"].isNotNull()), seed)
 
-    def candidates(gone, known):
-        covered = F.transform(F.filter(gone, lambda x: x["covered"]), lambda x: x["word"])
-        likely = F.filter(
-            F.transform(words, lambda w, i: F.when(w["hit"].rlike(r"[0-9][^0-9]*+[0-9]|\S@\S"), i.cast("int"))), lambda i: i.isNotNull()
-        )
+    def candidates(gone):
+        covered = F.transform(gone, lambda x: x["word"])
+        likely = F.filter(F.transform(words, lambda w, i: F.when(w["hit"].rlike(LIKELY), i.cast("int"))), lambda i: i.isNotNull())
 
         def candidate(i):
             w = F.get(words, i)
@@ -170,30 +172,37 @@ def _places(words: Column, base: Column) -> Column:
             rest = F.substring(w["hit"], F.length(label) + 1, F.length(w["hit"]))
             value = F.regexp_replace(rest, EDGE, "")
             start = w["start"] + F.length(label) + F.length(F.regexp_extract(rest, r"^[\p{Punct}]*", 0))
-            patterns = _patterns(_at(known, i - 2), _at(known, i - 1), _at(known, i + 1), F.lower(label))
+            patterns = _patterns(_at(words, i - 2), _at(words, i - 1), _at(words, i + 1), F.lower(label))
             return F.struct(
                 start.alias("start"), (start + F.length(value)).alias("end"), F.xxhash64(F.lower(value)).alias("value"), patterns.alias("patterns")
             )
 
         return F.filter(F.transform(F.array_except(likely, covered), candidate), lambda x: x["end"] > x["start"])
 
-    return let(
-        F.struct(walked.alias("walked"), plain.alias("plain")),
-        lambda z: F.struct(seeds(z["walked"], z["plain"]).alias("seeds"), candidates(z["walked"], z["plain"]).alias("candidates")),
-    )
+    return let(walked, lambda gone: F.struct(seeds(gone).alias("seeds"), candidates(gone).alias("candidates")))
 
 
 def _surroundings(docs: DataFrame) -> DataFrame:
     """pattern: one row for each pattern at each word of the corpus."""
     words = F.filter(F.split(_plain(whole_text()), r"\s+"), lambda w: w != "")
-    around = lambda ws: F.flatten(
-        F.transform(ws, lambda w, i: _patterns(_at(ws, i - 2), _at(ws, i - 1), _at(ws, i + 1), F.lit("")))
-    )
+
+    def around(ws):
+        """As _patterns; at a text's ends a word that is not there makes a hash that no pattern has."""
+
+        def at(right, i):
+            left, before = F.when(i > 0, F.get(ws, i - 1)), F.when(i > 1, F.get(ws, i - 2))
+            return F.array(F.xxhash64(F.lit(1), before, left), F.xxhash64(F.lit(2), left), F.xxhash64(F.lit(3), left, right))
+
+        # the word on the right of each place, and none on that of the last
+        return F.flatten(F.transform(F.concat(F.slice(ws, 2, F.size(ws)), F.array(F.lit(None).cast("string"))), at))
+
     labels = F.transform(
         F.when(whole_text().rlike(LABEL), F.regexp_extract_all(whole_text(), F.lit(LABEL), F.lit(0))).otherwise(F.array().cast("array<string>")),
         lambda x: F.xxhash64(F.lit(4), F.lower(x)),
     )
-    return docs.select(F.explode(F.concat(let(words, around), labels)).alias("pattern"))
+    none = F.array().cast("array<bigint>")
+    near = let(words, lambda ws: F.when(F.size(ws) > 0, around(ws)).otherwise(none))
+    return docs.select(F.explode(F.concat(near, labels)).alias("pattern"))
 
 
 def score_patterns(edges: DataFrame, ordinary: DataFrame) -> DataFrame:
