@@ -1,11 +1,12 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import scalars
 from turnstone.operators import search
-from turnstone.sources import jsonl
+from turnstone.sources import discovery, jsonl, programs
 from turnstone.streaming import ledger
 
 
@@ -61,18 +62,61 @@ def test_shell_split(spark, command, want):
     assert tuple(row) == want
 
 
-def test_small_scalars(spark):
-    row = spark.range(1).select(
-        scalars.transcript_key(F.lit("/h/projects/p/a/b.jsonl")).alias("key"),
-        scalars.normalise_command(F.lit("kill 123456 /tmp/x/y.txt")).alias("norm"),
-        scalars.host_text(F.lit("a b")).alias("host"),
-        scalars.lenient_int(F.lit("true")).alias("no"),
-    ).first()
-    assert tuple(row) == ("a/b.jsonl", "kill <num> <tmp-path>/file.txt", '"a b"', None)
+def test_files_without_a_complete_line_are_told(spark, tmp_path):
+    import zstandard
 
+    (tmp_path / "a.jsonl").write_text('{"a": 1}')
+    (tmp_path / "b.jsonl.zst").write_bytes(zstandard.compress(b'{"b": 1}\n{"b": 2}\n'))
+    (tmp_path / "c.jsonl.zst").write_bytes(b"no such file")
+    (tmp_path / "d.txt").write_text("no transcript")
+    got = jsonl.capture(spark, str(tmp_path))
+    files = {r["path"].rsplit("/", 1)[1]: (r["committed"], r["digest"] is not None) for r in jsonl.captured_files(got).collect()}
+    assert files == {"a.jsonl": (0, True), "b.jsonl.zst": (18, True), "c.jsonl.zst": (None, False)}
+    assert sorted(r["record"] for r in got.filter("line >= 0").collect()) == ['{"b": 1}', '{"b": 2}']
+    assert jsonl.inflated(zstandard.compress(b"x" * 100), 99) is None and jsonl.inflated(zstandard.compress(b"x" * 100), 100) == b"x" * 100
 
-def test_query_terms():
-    assert search.parse_query('a "b c" d*') == [("a", False), ("b", False), ("c", False), ("d", True)]
+
+def test_discovery(spark, tmp_path):
+    for name in ("p/one.jsonl", "p/one.jsonl.zst", "p/q/two.jsonl.zst", "p/q/three.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = discovery.discover(spark, [("a", str(tmp_path)), ("a", str(tmp_path / "p" / "q")), ("b", str(tmp_path / "p"))])
+    rows = {(r["source"], r["path"].removeprefix(str(tmp_path))): r["root"].removeprefix(str(tmp_path)) for r in found.collect()}
+    assert rows == {("a", "/p/one.jsonl"): "", ("a", "/p/q/two.jsonl.zst"): "/p/q", ("b", "/p/one.jsonl"): "/p", ("b", "/p/q/two.jsonl.zst"): "/p"}
+    assert "content" not in found.columns and discovery.newest_first(found).count() == 4
+    sessions = spark.createDataFrame([("a", f"{tmp_path}/p/one.jsonl", "My-Repo")], "source string, path string, git_repo string")
+    assert [r["path"] for r in discovery.in_scope(found, project="my-r", sessions=sessions).collect()] == [f"{tmp_path}/p/one.jsonl"]
+    assert discovery.in_scope(found, since=datetime(2100, 1, 1)).count() == 0
+    with pytest.raises(ValueError):
+        discovery.in_scope(found, project="x")
+
+
+@pytest.mark.parametrize(
+    "program, want",
+    [
+        ("tools.run({a: 'x\\u0041\\n', \"b\": [1, -2.5, null, true,],})", [("run", {"a": "xA\n", "b": [1, -2.5, None, True]})]),
+        ("const s = `two\nlines`; // tools.no({})\n/* tools.no({}) */ 'tools.no({})'; await tools.run({s, t: s})", [("run", {"s": "two\nlines", "t": "two\nlines"})]),
+        ("const s = 'a' + b; tools.run({s, k: 1})", [("run", {"k": 1})]),
+        ("tools.run({cmd: `${x}`}); tools.go(args)", [("run", None), ("go", None)]),
+        ("tools.run({a: f({b: 1}, [2]), ...rest, c: {d: 'e'}})", [("run", {"c": {"d": "e"}})]),
+        ("my.tools.run({a: 1}); tools.run", []),
+        ("tools.run({a: 1", [("run", None)]),
+        ("", []),
+    ],
+)
+def test_calls_inside_programs(program, want):
+    assert programs.inner_calls(program) == want
+
+
+def test_programs_without_calls_are_kept():
+    assert programs.wrapper_calls("x()") == [("exec", {"source": "x()"})]
+
+
+def test_aliases_and_budgets():
+    assert scalars.alias("mode", " RRF ") == "hybrid" and scalars.alias("source", "Pi-Agent") == "pi_agent"
+    for bad in (lambda: scalars.alias("mode", "other"), lambda: scalars.truncated(F.lit("x"), 0)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_fused_order(spark):

@@ -104,7 +104,9 @@ def mark_vanished(catalog: DataFrame, walked: DataFrame) -> DataFrame:
 
 def pair_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results with the call they answer, within a session; others are dropped. Of two results of a call the later stays."""
-    last = results.groupBy("session_id", "tool_use_id").agg(F.max_by("summary", "at").alias("summary"), F.max("at").alias("at"))
+    last = results.groupBy("session_id", "tool_use_id").agg(F.max(F.struct("at", "summary")).alias("r")).select(
+        "session_id", "tool_use_id", "r.summary", "r.at"
+    )
     return calls.filter("tool_use_id is not null").select("id", "session_id", "tool_use_id").join(last, ["session_id", "tool_use_id"])
 
 
@@ -132,3 +134,59 @@ def write_if_distinct(table: DataFrame, fresh: DataFrame, key: str, payload: lis
     old = table.select(F.col(key).alias("_k"), F.struct(*payload).alias("_old"))
     both = fresh.withColumn("_new", F.struct(*payload)).join(old, F.col(key) == F.col("_k"), "left")
     return both.filter(F.col("_k").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))).select(*fresh.columns)
+
+
+def keyword_owners(queue: DataFrame, messages: DataFrame, calls: DataFrame, sessions: DataFrame) -> DataFrame:
+    """queue (kind, id) -> kind, id, session_id: the session of the message or call that waits for the keyword index; NULL
+    where nothing is known of it."""
+    said = messages.select(F.col("id").alias("_m"), F.col("session_id").alias("_ms"))
+    made = calls.select(F.col("id").alias("_t"), F.col("session_id").alias("_ts"))
+    owner = (
+        queue.join(said, (F.col("kind") == "message") & (F.col("id") == F.col("_m")), "left")
+        .join(made, (F.col("kind") == "tool_call") & (F.col("id") == F.col("_t")), "left")
+        .select("kind", "id", F.coalesce("_ms", "_ts").alias("_s"))
+    )
+    known = sessions.select(F.col("id").alias("session_id"))
+    return owner.join(known, F.col("_s") == F.col("session_id"), "left").select("kind", "id", "session_id")
+
+
+def keyword_membership(selected: DataFrame, files: DataFrame, owners: DataFrame) -> DataFrame:
+    """selected (source, path), files (source, path, session_id), owners as keyword_owners gives them -> per path whether it
+    is bound to a session, whether that one waits for the index, and whether anything waits that has no session."""
+    waiting = owners.filter("session_id is not null").select("session_id").distinct().withColumn("pending", F.lit(True))
+    stray = owners.agg(F.coalesce(F.max(F.col("session_id").isNull()), F.lit(False)).alias("unknown"))
+    rows = selected.join(files, ["source", "path"], "left").join(waiting, "session_id", "left")
+    return rows.join(F.broadcast(stray)).select(
+        "source", "path", F.col("session_id").isNotNull().alias("bound"), F.coalesce("pending", F.lit(False)).alias("pending"), "unknown"
+    )
+
+
+def drain(queue: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """queue (seq, kind, id, op, queued_at) -> what the index has to do: of each row only the last order by time and
+    sequence; an upsert of a row that is not there any more is a delete. messages (id, content, thinking), calls (id, bash_command)."""
+    last = queue.groupBy("kind", "id").agg(F.max(F.struct("queued_at", "seq", "op")).alias("r"))
+    said = messages.select(F.lit("message").alias("kind"), "id", F.coalesce("content", F.lit("")).alias("one"), F.coalesce("thinking", F.lit("")).alias("two"))
+    made = calls.select(F.lit("tool_call").alias("kind"), "id", F.col("bash_command").alias("one"), F.lit(None).cast("string").alias("two"))
+    rows = last.select("kind", "id", "r.*").join(said.unionByName(made), ["kind", "id"], "left")
+    op = F.when((F.col("op") == "upsert") & F.col("one").isNotNull(), "upsert").otherwise("delete")
+    keep = lambda c: F.when(op == "upsert", F.col(c)).alias(c)
+    return rows.select("seq", "queued_at", "kind", "id", op.alias("op"), keep("one"), keep("two")).orderBy("queued_at", "seq")
+
+
+#: What one chunk of work may hold: files, and bytes.
+CHUNK_FILES, CHUNK_BYTES = 512, 8 << 20
+
+
+def chunk_options(size: int | None = CHUNK_BYTES, files: int = CHUNK_FILES) -> dict[str, str]:
+    """Options of a file stream whose batches are bounded in bytes, or where size is None in files: a stream takes one bound."""
+    return {"maxBytesPerTrigger": str(size)} if size else {"maxFilesPerTrigger": str(files)}
+
+
+def chunks(files: DataFrame, most: int = CHUNK_FILES, size: int = CHUNK_BYTES) -> DataFrame:
+    """files (root, path, size) with the number of their chunk within the root. A chunk is closed by the first file that
+    passes a bound, so a file above it is a chunk's last; bounds are counted over all files before."""
+    by = Window.partitionBy("root").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    bytes_before = F.coalesce(F.sum("size").over(by), F.lit(0))
+    files_before = F.count("*").over(by)
+    number = F.greatest(F.floor(bytes_before / size), F.floor(files_before / most))
+    return files.withColumn("chunk", number.cast("long"))

@@ -100,3 +100,58 @@ def watched_sessions(paths: list[str], sessions: DataFrame) -> DataFrame:
     spark = sessions.sparkSession
     listed = spark.createDataFrame(list(enumerate(paths)), "place long, path string")
     return listed.join(sessions.select("path", "id"), "path", "left").orderBy("place", "id")
+
+
+def live_coverage(rows: DataFrame, samples: int = 16) -> tuple[DataFrame, DataFrame]:
+    """rows (path, id, matches, possible_match, last_activity) -> one row of counts, and the first paths of which nobody
+    knows whether they match."""
+    unknown = F.col("possible_match") & ~F.col("matches")
+    counts = rows.agg(
+        F.count("*").alias("observed_paths"), F.count("id").alias("indexed_paths"),
+        F.count_if(F.col("id").isNull()).alias("unindexed_paths"), F.count_if(unknown).alias("unknown_count"),
+    )
+    return counts, rows.filter(unknown).orderBy(F.desc_nulls_last("last_activity"), "path").select("path").limit(samples)
+
+
+def catch_up(rows: DataFrame) -> DataFrame:
+    """Rows that a fresh read may bring up to date: indexed before, behind, and readable. rows (source, current, generation,
+    size, limitations: comma-joined)."""
+    barred = F.array_contains(F.split("limitations", ","), F.lit("catalog_source_missing")) | F.array_contains(
+        F.split("limitations", ","), F.lit("not_yet_indexed")
+    )
+    return rows.filter(
+        F.col("source").isNotNull() & ~F.col("current") & F.coalesce(F.col("generation") > 0, F.lit(False)) & F.col("size").isNotNull() & ~barred
+    )
+
+
+def marked_roster(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The roster with the live marks (path, pid_alive, marked_at) of its paths, the latest of each."""
+    last = marks.groupBy("path").agg(F.max_by("pid_alive", "marked_at").alias("pid_alive"), F.max("marked_at").alias("marked_at"))
+    return rows.join(last, "path", "left")
+
+
+def merge_lists(parts: DataFrame, order: str, limit: int) -> DataFrame:
+    """Lists of several endpoints (endpoint, host, id, order) as one: a host that is not named is its endpoint; a row that
+    two endpoints tell, by host and id, is the one with the later order."""
+    host = F.coalesce(F.nullif(F.trim("host"), F.lit("")), F.col("endpoint"))
+    rest = [c for c in parts.columns if c not in ("host", "id", order)]
+    best = parts.withColumn("host", host).groupBy("host", "id").agg(F.max(F.struct(order, *rest)).alias("r"))
+    return best.select("host", "id", "r.*").orderBy(F.desc_nulls_last(order), "host", "id").limit(limit)
+
+
+def full_freshness(rows: DataFrame) -> DataFrame:
+    """As freshness, told with what the catalogue knows besides: rows (offset, size, missing, generation, wanted, signature,
+    signature_now, boundary_ok, readable)."""
+    limits = F.array_compact(
+        F.array(
+            F.when(F.col("missing"), "catalog_source_missing"),
+            F.when(F.coalesce("generation", F.lit(0)) == 0, "not_yet_indexed"),
+            F.when(F.col("offset") < F.col("size"), "behind"),
+            F.when(F.col("generation") < F.col("wanted"), "generation"),
+            F.when(~F.col("signature").eqNullSafe(F.col("signature_now")), "signature"),
+            F.when(~F.coalesce("boundary_ok", F.lit(True)), "boundary"),
+            F.when(~F.coalesce("readable", F.lit(True)), "unreadable"),
+        )
+    )
+    lag = F.greatest(F.col("size") - F.col("offset"), F.lit(0))
+    return rows.withColumn("lag_bytes", lag).withColumn("limitations", F.array_join(limits, ",")).withColumn("current", F.col("limitations") == "")

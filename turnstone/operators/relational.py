@@ -15,9 +15,11 @@ def last_per_session(rows: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row a key, the last by order; partial aggregation keeps hot keys small."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    """One row a key, the last by order, and of equal ones the largest by its other columns, so that reruns agree;
+    partial aggregation keeps hot keys small."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    top = rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r"))
+    return top.select(*[F.col(c) if c in keys else F.col("r").getField(c).alias(c) for c in rows.columns])
 
 
 def roster_with_totals(rows: DataFrame, value: str, limit: int, *order: Column) -> DataFrame:
@@ -72,9 +74,31 @@ def insert_new(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return table.unionByName(without(rows.dropDuplicates(list(keys)), table, *keys))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows replace those of the same key."""
-    return without(table, rows, *keys).unionByName(rows)
+def changed(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """What an upsert has to write: of rows with one key the last by order, where the table lacks it or differs."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = latest(rows, keys, order) if order else rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+    new = one.select(*keys, F.struct(*rest).alias("_new"))
+    old = table.select(*keys, F.struct(*rest).alias("_old"))
+    differ = F.col("_old").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))
+    return new.join(old, keys, "left").filter(differ).select(*keys, "_new.*").select(*rows.columns)
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The table with rows in place of those of the same key; equal rows stay as they are."""
+    write = changed(table, rows, keys, order)
+    return without(table, write, *keys).unionByName(write)
+
+
+def changed_vectors(table: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows whose vector the table lacks or holds with other values; the same vector again is not written."""
+    return changed(table.select(key, vector), rows.select(key, vector), [key])
+
+
+def index_difference(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Keys that the index lacks (orphan) and keys that only the index holds (ghost)."""
+    orphans = without(store.select(key), index, key).withColumn("side", F.lit("orphan"))
+    return orphans.unionByName(without(index.select(key), store, key).withColumn("side", F.lit("ghost")))
 
 
 def compare(before: DataFrame, after: DataFrame, key: str, payload: list[str]) -> DataFrame:
@@ -102,13 +126,20 @@ def observe_files(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+#: What a tail that tells it replaces.
+METADATA = ("model", "cwd", "git_repo", "git_branch")
+
+
 def merge_session(before: DataFrame, tail: DataFrame, absolute: tuple[str, ...] = ("codex",)) -> DataFrame:
-    """Append merge: counts add; tokens add, or for sources that report totals the larger stays; NULL is unknown."""
-    both = before.unionByName(tail)
+    """Append merge: counts add; tokens add, or for sources that report totals the larger stays; NULL is unknown. Metadata
+    that the tail tells replaces what was known."""
+    both = before.withColumn("_side", F.lit(0)).unionByName(tail.withColumn("_side", F.lit(1)))
     tokens = lambda c: F.when(F.first("source").isin(*absolute), F.max(c)).otherwise(F.sum(c)).alias(c)
+    told = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("_side", c)))[c].alias(c)
     return both.groupBy("id").agg(
         F.first("source").alias("source"), F.sum("message_count").alias("message_count"), tokens("input_tokens"),
         tokens("output_tokens"), F.max("ended_at").alias("ended_at"), F.min("started_at").alias("started_at"),
+        *[told(c) for c in METADATA if c in before.columns],
     )
 
 
@@ -118,8 +149,11 @@ def keyset_page(rows: DataFrame, cursor: tuple, limit: int, *keys: str) -> DataF
     return rows.withColumn("wrapped", ~after).orderBy("wrapped", *keys).limit(limit)
 
 
-def admit_bytes(rows: DataFrame, size: str, budget: int, most: int, *order: str) -> DataFrame:
-    """The longest prefix of each session's queue within budget and row count."""
+def admit_bytes(rows: DataFrame, size: str, budget: int, most: int, *order: str, single: int | None = None) -> DataFrame:
+    """The longest prefix of each session's queue within budget and row count. size is in bytes; an item above `single`
+    bytes can never be admitted and is left out beforehand, so it does not hold up those behind it."""
+    if single is not None:
+        rows = rows.filter(F.col(size) <= single)
     by = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("bytes_so_far", F.sum(size).over(by))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,14 @@ def bash_suggestions(calls: DataFrame, high: int = 50, medium: int = 10, top: in
         .when(F.col("n") >= medium, "medium")
         .otherwise("review")
     )
+    why = (
+        F.when(base.isin(*DESTRUCTIVE), "destructive command")
+        .when(F.col("is_compound"), "compound command")
+        .when(F.col("n") >= medium, "frequent command")
+        .otherwise("rare command")
+    )
     rows = bash_breakdown(calls, top).filter(F.trim(base) != "")
-    return rows.select(permission_pattern(base, F.col("bash_sub")).alias("pattern"), "n", rung.alias("confidence"))
+    return rows.select(permission_pattern(base, F.col("bash_sub")).alias("pattern"), "n", rung.alias("confidence"), why.alias("reason"))
 
 
 def token_usage(sessions: DataFrame, limit: int = 50) -> DataFrame:
@@ -100,16 +108,58 @@ def skill_usage(uses: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def fleet_skills(parts: DataFrame) -> DataFrame:
+    """Skill rows (endpoint, skill_name, source, host, invocations, sessions) of several hosts as one table; an endpoint's
+    name stands for its host."""
+    host = F.coalesce("endpoint", F.trim("host"))
+    return parts.groupBy(F.trim("skill_name").alias("skill_name"), "source", host.alias("host")).agg(
+        F.sum("invocations").alias("invocations"), F.sum("sessions").alias("sessions")
+    )
+
+
+def skill_violations(parts: DataFrame, coverage: DataFrame) -> DataFrame:
+    """What makes an endpoint's answer unfit to merge: (endpoint, rule, n), no rows where all is well. coverage
+    (endpoint, bounded, sources, attributed_invocations, considered_sessions, unattributed_candidates, and each as control_)."""
+    names = ("attributed_invocations", "considered_sessions", "unattributed_candidates")
+    known = coverage.withColumnRenamed("sources", "_sources").select("endpoint", "_sources")
+    rows = parts.join(known, "endpoint", "left")
+    blank = (F.trim("skill_name") == "") | (F.trim("host") == "")
+    rules = [
+        (blank, "blank name"),
+        (F.col("sessions") > F.col("invocations"), "more sessions than invocations"),
+        (~(F.col("invocations") > 0) | ~(F.col("sessions") > 0), "count not positive"),
+        (~F.array_contains("_sources", F.col("source")), "source not asked for"),
+    ]
+    found = [rows.filter(test).groupBy("endpoint").agg(F.count("*").alias("n")).select("endpoint", F.lit(rule).alias("rule"), "n") for test, rule in rules]
+    keys = ["endpoint", "skill_name", "source", "host"]
+    twice = parts.groupBy(*keys).count().filter("count > 1").groupBy("endpoint").agg(F.count("*").alias("n"))
+    found.append(twice.select("endpoint", F.lit("row given twice").alias("rule"), "n"))
+    sums = parts.groupBy("endpoint").agg(F.sum("invocations").alias("_sum"))
+    both = coverage.join(sums, "endpoint", "left")
+    off = F.coalesce("_sum", F.lit(0)) != F.col("attributed_invocations")
+    found.append(both.filter(off).select("endpoint", F.lit("rows do not add up").alias("rule"), F.lit(1).cast("long").alias("n")))
+    for name in names:
+        control, own = F.col(f"control_{name}"), F.col(name)
+        bad = F.when(F.col("bounded"), control < own).otherwise(control != own)
+        found.append(both.filter(bad).select("endpoint", F.lit(f"control of {name}").alias("rule"), F.lit(1).cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def usage_rollup(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sums by source session; the smallest session id owns them, its siblings get NULL."""
+    """Sums by source session; the smallest session id owns them, its siblings get NULL. Where sessions tell what they
+    hold (known_prompt_tokens, known_completion_tokens), only rows that differ are returned."""
     names = ("prompt_tokens", "completion_tokens")
     sums = events.groupBy("source_session_id").agg(*[F.sum(n).alias(n) for n in names])
     owner = sessions.groupBy("source_session_id").agg(F.min("id").alias("owner"))
-    return (
-        sessions.select("id", "source_session_id")
-        .join(owner.join(sums, "source_session_id"), "source_session_id")
-        .select("id", "source_session_id", *[F.when(F.col("id") == F.col("owner"), F.col(n)).alias(n) for n in names])
-    )
+    now = (
+        sessions.join(owner.join(sums, "source_session_id"), "source_session_id")
+        .select("id", "source_session_id", *[F.when(F.col("id") == F.col("owner"), F.col(n)).alias(n) for n in names],
+                *[F.col(f"known_{n}") for n in names if f"known_{n}" in sessions.columns])
+    )
+    if all(f"known_{n}" in sessions.columns for n in names):
+        same = [F.col(n).eqNullSafe(F.col(f"known_{n}")) for n in names]
+        now = now.filter(~reduce(lambda a, b: a & b, same)).drop(*[f"known_{n}" for n in names])
+    return now
 
 
 def coverage(files: DataFrame) -> DataFrame:
@@ -143,6 +193,20 @@ def high_water(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.max("idx").alias("high_water"))
 
 
+def high_water_of_path(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """By transcript path; one that several sessions stand for has no answer."""
+    one = sessions.groupBy("path").agg(F.count("*").alias("n"), F.first("id").alias("session_id"))
+    found = one.join(high_water(messages), "session_id", "left")
+    return found.select("path", F.when(F.col("n") == 1, F.col("high_water")).alias("high_water"))
+
+
+def move_classes(moves: DataFrame) -> DataFrame:
+    """moves (before, after, proved): pairs by class: proved and alone, proved with several partners, unproved."""
+    alone = lambda c: F.count("*").over(Window.partitionBy(c, "proved")) == 1
+    kind = F.when(~F.col("proved"), "unproved").when(alone("before") & alone("after"), "moved").otherwise("ambiguous")
+    return moves.select(kind.alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
 def duplicate_census(rows: DataFrame, *keys: str) -> DataFrame:
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess"))

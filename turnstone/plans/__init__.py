@@ -1,3 +1,3 @@
 """Named queries; importing the folder registers them all."""
 
-from . import catalogue, lifecycle  # noqa: F401
+from . import catalogue, lifecycle, retrieval, rules  # noqa: F401

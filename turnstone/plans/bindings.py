@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CALLS = """
+# Every tool with commands of its own, every destructive one, and some of neither.
+BASES = (
+    "git", "kubectl", "docker", "npm", "yarn", "pnpm", "cargo", "go", "uv", "pip", "brew", "apt", "systemctl", "rm", "sudo", "chmod",
+    "chown", "dd", "mkfs", "mount", "umount", "shutdown", "reboot", "kill", "killall", "ls", " ", "make", "mv",
+)
+
+
+def literal(value) -> str:
+    """A constant of SQL that both engines read alike."""
+    if value is None:
+        return "NULL"
+    return str(value).upper() if isinstance(value, (bool, int)) else "'" + value.replace("'", "''") + "'"
+
+
+def cases(key: str, values) -> str:
+    """The value of a list that a number picks, in turn."""
+    arms = " ".join(f"WHEN {i} THEN {literal(v)}" for i, v in enumerate(values))
+    return f"CASE CAST({key} % {len(values)} AS INT) {arms} END"
+
+
+CALLS = f"""
     SELECT event_id AS id, user_id AS session_id, event_type AS tool_name, ts, value,
            CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS idx,
-           CASE WHEN event_type IN ('click', 'purchase', 'error') THEN
-                CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'git' WHEN 1 THEN 'rm' WHEN 2 THEN 'ls' WHEN 3 THEN ' ' ELSE 'npm' END
-           END AS bash_base,
-           CASE WHEN event_id % 5 IN (0, 4) THEN event_type END AS bash_sub,
+           CASE WHEN event_type IN ('click', 'purchase', 'error') THEN {cases("event_id", BASES)} END AS bash_base,
+           CASE WHEN event_id % 29 < 13 THEN event_type WHEN event_id % 29 = 27 THEN '' END AS bash_sub,
            event_id % 11 = 0 AS is_compound,
            CASE WHEN event_id % 3 = 0 THEN 1 END AS agent
     FROM events

@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import live, relational, search, stats
+from ..operators import live, relational, stats
+from ..operators import sessions as reading
 from .bindings import table, view, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 CUTOFF = datetime(2024, 1, 1)
-TERMS = "the with"
 
 
 def query(sql: str | None = None, *views: str):
@@ -54,9 +54,13 @@ def agg3_bash_breakdown(spark, d):
 
 
 @query(
-    """SELECT concat(bash_base, ' ', coalesce(bash_sub, '*')) AS pattern, n,
-              CASE WHEN bash_base = 'rm' THEN 'skipped' WHEN is_compound THEN 'review' WHEN n >= 50 THEN 'high'
-                   WHEN n >= 10 THEN 'medium' ELSE 'review' END AS confidence
+    """SELECT concat(bash_base, ' ', coalesce(nullif(bash_sub, ''), '*')) AS pattern, n,
+              CASE WHEN bash_base IN ('rm', 'sudo', 'chmod', 'chown', 'dd', 'mkfs', 'mount', 'umount', 'shutdown', 'reboot', 'kill', 'killall')
+                   THEN 'skipped' WHEN is_compound THEN 'review' WHEN n >= 50 THEN 'high'
+                   WHEN n >= 10 THEN 'medium' ELSE 'review' END AS confidence,
+              CASE WHEN bash_base IN ('rm', 'sudo', 'chmod', 'chown', 'dd', 'mkfs', 'mount', 'umount', 'shutdown', 'reboot', 'kill', 'killall')
+                   THEN 'destructive command' WHEN is_compound THEN 'compound command' WHEN n >= 10 THEN 'frequent command'
+                   ELSE 'rare command' END AS reason
        FROM (SELECT bash_base, bash_sub, count(*) AS n, bool_or(is_compound) AS is_compound FROM calls
              WHERE trim(bash_base) <> '' GROUP BY 1, 2)""",
     "calls",
@@ -112,22 +116,6 @@ def agg9_fleet_usage(spark, d):
     return stats.fleet_usage(side(0, "east").unionByName(side(1, "west")))
 
 
-@query(
-    """SELECT tool_name AS skill_name, source, host, count(*) AS invocations, count(DISTINCT session_id) AS sessions
-       FROM calls JOIN (SELECT id, source, host FROM (SELECT *, row_number() OVER (PARTITION BY source, coalesce(host, ''),
-            source_session_id ORDER BY (input_tokens IS NOT NULL) DESC, coalesce(ended_at, started_at) DESC NULLS LAST, id) AS rn
-            FROM sessions) WHERE rn = 1) s ON session_id = s.id GROUP BY 1, 2, 3""",
-    "calls", "sessions",
-)
-def agg7_skill_usage(spark, d):
-    sessions = view(spark, d, "sessions").select(
-        "id", "source", "host", F.col("source_session_id").alias("transcript"),
-        F.col("input_tokens").isNotNull().alias("present"), F.coalesce("ended_at", "started_at").alias("recency"),
-    )
-    uses = view(spark, d, "calls").select("session_id", F.col("tool_name").alias("skill_name"))
-    return stats.skill_usage(uses, stats.newest_transcripts(sessions))
-
-
 @query(
     """SELECT s.id, s.source_session_id, CASE WHEN s.id = owner THEN p END AS prompt_tokens,
               CASE WHEN s.id = owner THEN c END AS completion_tokens
@@ -195,14 +183,6 @@ def agg17_move_census(spark, d):
     return stats.duplicate_census(table(spark, d, "documents"), "text")
 
 
-WORDS = "SELECT id, unnest(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+')) AS term FROM messages"
-
-
-@query(f"SELECT term, count(DISTINCT id) AS df FROM ({WORDS}) WHERE term <> '' GROUP BY 1", "messages")
-def agg19_index_statistics(spark, d):
-    return search.index_statistics(view(spark, d, "messages"), "id", "content")
-
-
 @query(
     """SELECT source, detail, files, paths FROM (
          SELECT source, detail, count(*) AS files, array_to_string(list_slice(list(path ORDER BY path), 1, 3), ',') AS paths
@@ -269,8 +249,7 @@ def win6_totals_beside_limit(spark, d):
 
 @query("SELECT s.id, s.host, count(c.id) AS calls FROM sessions s JOIN calls c ON s.id = c.session_id GROUP BY 1, 2", "sessions", "calls")
 def jn1_sessions_calls(spark, d):
-    calls = view(spark, d, "calls").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("calls"))
-    return view(spark, d, "sessions").select("id", "host").join(calls, "id")
+    return reading.call_counts(view(spark, d, "sessions"), view(spark, d, "calls"))
 
 
 @query(
@@ -295,16 +274,15 @@ def jn5_pending_embeddings(spark, d):
        WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey) GROUP BY 1"""
 )
 def jn6_index_only(spark, d):
-    users = table(spark, d, "events").select(F.col("user_id").alias("o_custkey")).distinct()
+    users = table(spark, d, "events").select(F.col("user_id").alias("o_custkey"))
     left = relational.without(table(spark, d, "orders").select("o_custkey", "o_orderstatus"), users, "o_custkey")
     return left.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("n"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS present FROM customer")
 def jn7_present_flag(spark, d):
-    there = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("p", F.lit(True))
-    both = table(spark, d, "customer").select("c_custkey").join(there, "c_custkey", "left")
-    return both.select("c_custkey", F.coalesce("p", F.lit(False)).alias("present"))
+    there = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return reading.with_presence(table(spark, d, "customer").select("c_custkey"), there, "c_custkey")
 
 
 @query(
@@ -342,30 +320,33 @@ def jn12_membership(spark, d):
        GROUP BY 1"""
 )
 def jn15_census_keeps_empty(spark, d):
-    few = table(spark, d, "nation").filter("n_name < 'C'")
-    both = few.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "right")
-    return both.groupBy("r_name").agg(F.count("n_nationkey").alias("nations"))
+    regions = table(spark, d, "region")
+    few = table(spark, d, "nation").filter("n_name < 'C'").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return reading.census(regions, few, "r_name", "nations")
 
 
-@query("SELECT id, started_at FROM sessions ORDER BY started_at DESC NULLS LAST, id LIMIT 50", "sessions")
+@query("SELECT id FROM sessions ORDER BY coalesce(ended_at, started_at) DESC NULLS LAST, id LIMIT 50", "sessions")
 def srt1_session_list(spark, d):
-    return view(spark, d, "sessions").select("id", "started_at").orderBy(F.desc_nulls_last("started_at"), "id").limit(50)
+    rows = view(spark, d, "sessions").withColumn("indexed_at", F.lit(None).cast("timestamp_ntz"))
+    return reading.list_sessions(rows, 50).select("id")
 
 
 @query("SELECT id, idx, content FROM messages WHERE session_id = 3 ORDER BY idx, id LIMIT 10", "messages")
 def srt3_head_read(spark, d):
-    return view(spark, d, "messages").filter("session_id = 3").select("id", "idx", "content").orderBy("idx", "id").limit(10)
+    one = spark.range(3, 4)
+    messages, _ = reading.load_sessions(view(spark, d, "messages"), _owned_calls(spark, d), one, tools=False, message_limit=10)
+    return messages.select("id", "idx", "content")
 
 
 @query("SELECT id, idx FROM (SELECT * FROM messages WHERE session_id = 3 AND idx > 1 ORDER BY idx DESC LIMIT 3) ORDER BY idx", "messages")
 def srt4_delta_tail(spark, d):
-    after = view(spark, d, "messages").filter("session_id = 3 and idx > 1").select("id", "idx")
-    return after.orderBy(F.desc("idx")).limit(3).orderBy("idx")
+    return reading.load_tail(view(spark, d, "messages"), _owned_calls(spark, d), 3, tail=3, after_idx=1).select("id", "idx")
 
 
 @query("SELECT id, ended_at FROM sessions ORDER BY ended_at DESC NULLS LAST, id LIMIT 21 OFFSET 40", "sessions")
 def srt5_live_page(spark, d):
-    return view(spark, d, "sessions").select("id", "ended_at").orderBy(F.desc_nulls_last("ended_at"), "id").offset(40).limit(21)
+    rows = view(spark, d, "sessions").select("id", F.col("ended_at").alias("last_activity"))
+    return reading.live_page(rows, 21, reading.encode_page(40)).select("id", F.col("last_activity").alias("ended_at"))
 
 
 @query(
@@ -379,16 +360,12 @@ def srt7_keyset_page(spark, d):
 
 @query(
     """SELECT kind, id FROM (SELECT 'call' AS kind, id FROM calls WHERE agent = 1 UNION ALL SELECT 'message', id FROM messages
-       UNION ALL SELECT 'session', id FROM sessions WHERE id % 2 = 0)""",
+       UNION ALL SELECT 'session', id FROM sessions)""",
     "calls", "messages", "sessions",
 )
 def set1_roster_union(spark, d):
-    arm = lambda name, rows: rows.select(F.lit(name).alias("kind"), "id")
-    return (
-        arm("call", view(spark, d, "calls").filter("agent = 1"))
-        .unionByName(arm("message", view(spark, d, "messages")))
-        .unionByName(arm("session", view(spark, d, "sessions").filter("id % 2 = 0")))
-    )
+    calls = view(spark, d, "calls").filter("agent = 1")
+    return reading.roster_union(call=calls, message=view(spark, d, "messages"), session=view(spark, d, "sessions"))
 
 
 @query(
@@ -455,67 +432,14 @@ def dml4_observe_files(spark, d):
 
 
 @query(
-    """SELECT id, session_id, idx FROM (SELECT *, sum(length(content)) OVER w AS b, count(*) OVER w AS n FROM messages
+    """SELECT id, session_id, idx FROM (SELECT *, sum(octet_length(encode(content))) OVER w AS b, count(*) OVER w AS n FROM messages
+       WHERE octet_length(encode(content)) <= 1500
        WINDOW w AS (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING)) WHERE b <= 4000 AND n <= 4""",
     "messages",
 )
 def emb2_admit_bytes(spark, d):
-    rows = view(spark, d, "messages").withColumn("size", F.char_length("content"))
-    return relational.admit_bytes(rows, "size", 4000, 4, "idx").select("id", "session_id", "idx")
-
-
-BM25 = """
-    WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM messages),
-         c AS (SELECT id, len(ws) AS len, len(list_filter(ws, lambda x: x = 'the')) AS a, len(list_filter(ws, lambda x: x = 'with')) AS b FROM w),
-         s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
-         r AS (SELECT id, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / mean))
-                        + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / mean)) AS raw
-               FROM c, s WHERE a > 0 AND b > 0)
-"""
-
-
-@query(BM25 + "SELECT id, round(raw, 6) AS score FROM r ORDER BY raw DESC, id LIMIT 20", "messages")
-def sea2_keyword_search(spark, d):
-    found = search.keyword_search(view(spark, d, "messages"), TERMS, "id", ("content",))
-    return found.select("id", F.round("score", 6).alias("score"))
-
-
-@query(BM25 + "SELECT id, round(raw, 6) AS score FROM r WHERE id % 3 = 0 ORDER BY raw DESC, id LIMIT 20", "messages")
-def sea6_filtered_keyword(spark, d):
-    messages = view(spark, d, "messages")
-    found = search.keyword_search(messages, TERMS, "id", ("content",), candidates=messages.filter("id % 3 = 0"))
-    return found.select("id", F.round("score", 6).alias("score"))
-
-
-def _query_vector(spark, d) -> list[float]:
-    return list(table(spark, d, "embeddings").filter("vec_id = 7").select("embedding").first()[0])
-
-
-VECTOR = """SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw
-            FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q"""
-
-
-@query(f"SELECT vec_id, round(raw, 5) AS score FROM ({VECTOR}) ORDER BY raw DESC, vec_id LIMIT 20")
-def sea8_vector_search(spark, d):
-    found = search.vector_search(table(spark, d, "embeddings"), "vec_id", ("embedding",), _query_vector(spark, d))
-    return found.select("vec_id", F.round("score", 5).alias("score"))
-
-
-@query(
-    BM25 + f""", k AS (SELECT id, raw, row_number() OVER (ORDER BY raw DESC, id) AS rn FROM r ORDER BY raw DESC, id LIMIT 60),
-    v AS (SELECT vec_id * 1000 AS id, raw, row_number() OVER (ORDER BY raw DESC, vec_id) AS rn FROM ({VECTOR}) ORDER BY raw DESC, vec_id LIMIT 60)
-    SELECT id, round(coalesce(1.0::DOUBLE / (60 + k.rn), 0) + coalesce(1.0::DOUBLE / (60 + v.rn), 0), 9) AS score,
-           k.raw IS NOT NULL AS lexical_match
-    FROM k FULL OUTER JOIN v USING (id)
-    ORDER BY coalesce(1.0::DOUBLE / (60 + k.rn), 0) + coalesce(1.0::DOUBLE / (60 + v.rn), 0) DESC, k.raw DESC NULLS LAST,
-             v.raw DESC NULLS LAST, id LIMIT 20""",
-    "messages",
-)
-def sea11_hybrid_search(spark, d):
-    words = search.keyword_search(view(spark, d, "messages"), TERMS, "id", ("content",), 60)
-    near = search.vector_search(table(spark, d, "embeddings"), "vec_id", ("embedding",), _query_vector(spark, d), 60)
-    both = search.fuse(words, near.select((F.col("vec_id") * 1000).alias("id"), "score"), "id")
-    return both.select("id", F.round("score", 9).alias("score"), "lexical_match")
+    rows = view(spark, d, "messages").withColumn("size", F.octet_length("content"))
+    return relational.admit_bytes(rows, "size", 4000, 4, "idx", single=1500).select("id", "session_id", "idx")
 
 
 @query(
@@ -535,19 +459,31 @@ def sea12_quality(spark, d):
 )
 def ses1_filtered_list(spark, d):
     recency = F.coalesce("ended_at", "started_at")
-    rows = view(spark, d, "sessions").filter(F.col("git_repo").ilike("%REPO1%") & (recency >= F.lit("1995-01-01").cast("timestamp")))
+    known = view(spark, d, "sessions").withColumn("indexed_at", F.lit(None).cast("timestamp_ntz"))
+    rows = reading.list_sessions(known, None, since=datetime(1995, 1, 1), project="REPO1")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.max(recency).alias("newest"))
 
 
+OWNED = """SELECT c.id, c.session_id, c.idx, m.id AS message_id, c.tool_name FROM calls c LEFT JOIN messages m
+           ON c.session_id = m.session_id AND c.idx = m.idx"""
+
+
+def _owned_calls(spark, d):
+    """Calls with the message at their place in the session, or with none."""
+    places = view(spark, d, "messages").select("session_id", F.col("idx").cast("long").alias("idx"), F.col("id").alias("message_id"))
+    return view(spark, d, "calls").select("id", "session_id", "idx", "tool_name").join(places, ["session_id", "idx"], "left")
+
+
 @query(
-    """SELECT m.id, m.idx, count(c.id) AS calls FROM messages m LEFT JOIN calls c
-       ON c.session_id = m.session_id AND c.idx = m.idx WHERE m.session_id < 20 GROUP BY 1, 2""",
+    f"""WITH o AS ({OWNED}) SELECT m.id, m.idx, (SELECT count(*) FROM o WHERE message_id = m.id) AS calls, 'message' AS kind FROM messages m
+        WHERE m.session_id < 20 UNION ALL SELECT id, idx, 0, 'orphan' FROM o WHERE message_id IS NULL AND session_id < 20""",
     "messages", "calls",
 )
 def ses2_load_sessions(spark, d):
-    messages = view(spark, d, "messages").filter("session_id < 20")
-    calls = view(spark, d, "calls").select("session_id", "idx", F.col("id").alias("call"))
-    return messages.join(calls, ["session_id", "idx"], "left").groupBy("id", "idx").agg(F.count("call").alias("calls"))
+    messages, orphans = reading.load_sessions(view(spark, d, "messages"), _owned_calls(spark, d), spark.range(20))
+    calls = F.coalesce(F.size("tool_calls"), F.lit(0)).cast("long")
+    rows = messages.select("id", "idx", calls.alias("calls"), F.lit("message").alias("kind"))
+    return rows.unionByName(orphans.select("id", "idx", F.lit(0).cast("long").alias("calls"), F.lit("orphan").alias("kind")))
 
 
 @query(

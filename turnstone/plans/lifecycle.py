@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, live, relational, search
+from ..operators import sessions as reading
 from .bindings import table, view
 from .catalogue import query
 
@@ -124,35 +125,43 @@ def dml6_retire(spark, d):
 
 
 @query(
-    """SELECT c.id, c.session_id, c.idx AS tool_use_id, max_by(r.l_quantity, r.l_quantity) AS summary FROM calls c
-       JOIN results r ON r.session_id = c.session_id AND r.idx = c.idx GROUP BY 1, 2, 3""",
-    "calls", "results",
+    """SELECT c.id, c.session_id, c.idx AS tool_use_id, r.l_quantity AS summary FROM calls c JOIN
+       (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_quantity DESC) AS rn FROM lineitem) r
+       ON r.l_orderkey = c.session_id AND r.l_linenumber = c.idx AND r.rn = 1""",
+    "calls",
 )
 def dml7_pair_results(spark, d):
     calls = view(spark, d, "calls").select("id", "session_id", F.col("idx").alias("tool_use_id"))
-    results = view(spark, d, "results").select(
-        "session_id", F.col("idx").cast("long").alias("tool_use_id"), F.col("l_quantity").alias("summary"), F.col("l_quantity").alias("at")
-    )
+    results = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("tool_use_id"), F.col("l_quantity").alias("summary"),
+        F.col("l_shipdate").alias("at"),
+    )
     return ingest.pair_results(calls, results).drop("at")
 
 
 @query(
-    """SELECT id, source, 2 AS message_count, CASE WHEN source = '1-URGENT' THEN input_tokens ELSE input_tokens * 2 END AS input_tokens,
-              started_at FROM sessions""",
+    """SELECT id, source, CASE WHEN id % 3 = 0 THEN 1 ELSE 5 END AS message_count,
+              CASE WHEN id % 3 = 0 THEN input_tokens WHEN source = '1-URGENT' THEN greatest(input_tokens, 100000)
+                   ELSE coalesce(input_tokens + 100000, 100000) END AS input_tokens,
+              CASE WHEN id % 3 = 0 THEN started_at ELSE least(started_at, TIMESTAMP '1995-06-01') END AS started_at,
+              CASE WHEN id % 3 = 0 THEN ended_at ELSE greatest(ended_at, TIMESTAMP '1996-06-01') END AS ended_at FROM sessions""",
     "sessions",
 )
 def dml8_merge_session(spark, d):
-    rows = view(spark, d, "sessions").select(
+    before = view(spark, d, "sessions").select(
         "id", "source", F.lit(1).alias("message_count"), "input_tokens", "output_tokens", "ended_at", "started_at"
     )
-    return relational.merge_session(rows, rows, ("1-URGENT",)).select("id", "source", "message_count", "input_tokens", "started_at")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    tail = before.filter("id % 3 <> 0").withColumns(
+        {"message_count": F.lit(4), "input_tokens": F.lit(100000).cast("long"), "ended_at": at("1996-06-01"), "started_at": at("1995-06-01")}
+    )
+    merged = relational.merge_session(before, tail, ("1-URGENT",))
+    return merged.select("id", "source", "message_count", "input_tokens", "started_at", "ended_at")
 
 
-@query("SELECT id, CASE WHEN source_session_id % 2 = 0 THEN 'here' ELSE host END AS host FROM sessions", "sessions")
+@query("SELECT id, CASE WHEN host = 'local' THEN 'here' ELSE host END AS host FROM sessions", "sessions")
 def dml10_relabel_host(spark, d):
-    rows = view(spark, d, "sessions")
-    chosen = rows.filter("source_session_id % 2 = 0").select("id").withColumn("label", F.lit("here"))
-    return rows.select("id", "host").join(chosen, "id", "left").select("id", F.coalesce("label", "host").alias("host"))
+    return reading.relabel_host(view(spark, d, "sessions").select("id", "host"), "local", "here")
 
 
 @query(
@@ -207,16 +216,6 @@ def srt9_fleet_live(spark, d):
     return live.fleet_live(rows.filter("id % 2 = 0").unionByName(rows.filter("id % 2 = 1")), 50).select("id", "liveness")
 
 
-@query(
-    """SELECT kind, id, score FROM (SELECT 'message' AS kind, id, CAST(idx AS DOUBLE) AS score FROM messages UNION ALL
-       SELECT 'call', id, CAST(idx AS DOUBLE) FROM calls) ORDER BY score DESC, kind, id LIMIT 20""",
-    "messages", "calls",
-)
-def sea7_search_all(spark, d):
-    leg = lambda name: view(spark, d, name).select("id", F.col("idx").cast("double").alias("score"))
-    return search.search_all(leg("messages"), leg("calls"), "id")
-
-
 @query(
     """SELECT c.id, coalesce(nullif(trim(s.host), ''), 'local') AS host FROM calls c LEFT JOIN sessions s ON s.id = c.session_id""",
     "calls", "sessions",
@@ -227,7 +226,7 @@ def sea14_stamp_host(spark, d):
 
 @query("SELECT id FROM calls WHERE lower(tool_name) = 'click'", "calls")
 def sea16_tool_filter(spark, d):
-    return view(spark, d, "calls").filter(F.lower("tool_name") == "CLICK".lower()).select("id")
+    return search.by_tool(view(spark, d, "calls"), "CLICK").select("id")
 
 
 @query(

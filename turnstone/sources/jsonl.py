@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_int, first_of, lenient_int, usage_event_id
+from ..functions.scalars import first_int, first_of, lenient_int, shell_command, usage_event_id
 
-LINE_LIMIT = 64 << 20
+LINE_LIMIT, INFLATED_LIMIT = 64 << 20, 96 << 20
+PATTERN = "*.{jsonl,jsonl.zst}"
 CAPTURED = "path string, line int, offset long, record string, committed long, digest string"
 USAGE_MESSAGE = "shell.turn.inference_done"
 
@@ -35,23 +37,49 @@ def captured_lines(content: bytes, limit: int = LINE_LIMIT):
     return taken, at, rolling.hexdigest()
 
 
-def capture(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Complete records of every file; an unterminated tail is left for later. `.zst` files are inflated first."""
+def inflated(content: bytes, limit: int = INFLATED_LIMIT) -> bytes | None:
+    """A .zst file's content; None where it is no such file or exceeds the limit."""
+    import zstandard
+
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True) as reader:
+            out = reader.read(limit + 1)
+    except zstandard.ZstdError:
+        return None
+    return out if len(out) <= limit else None
+
+
+def opened(spark: SparkSession, path: str, glob: str = PATTERN) -> DataFrame:
+    """path, content of every file; a file is read whole by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "content")
+
+
+def taken_from(name: str, content: bytes):
+    """captured_lines of a file; a compressed one that cannot be read gives nothing."""
+    raw = inflated(content) if name.endswith(".zst") else content
+    return captured_lines(bytes(raw)) if raw is not None else ([], None, None)
+
+
+def capture(spark: SparkSession, path: str, glob: str = PATTERN) -> DataFrame:
+    """Complete records of every file, and one row a file, of line -1 and without a record, that tells how far it was
+    read and the digest of that. An unterminated tail is left for later. `.zst` files are inflated first; a file that
+    cannot be inflated has no digest."""
 
     def read(frames):
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                if name.endswith(".zst"):
-                    import zstandard
+                taken, committed, digest = taken_from(name, bytes(content))
+                rows = [(name, -1, None, None, committed, digest), *((name, *x, None, None) for x in taken)]
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURED.split(", ")])
+                yield out.astype({"offset": "Int64", "committed": "Int64"})
 
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                taken, committed, digest = captured_lines(bytes(content))
-                yield pd.DataFrame(
-                    [(name, *x, committed, digest) for x in taken], columns=[c.split()[0] for c in CAPTURED.split(", ")]
-                )
+    return opened(spark, path, glob).mapInPandas(read, CAPTURED)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInPandas(read, CAPTURED)
+
+def captured_files(captured: DataFrame) -> DataFrame:
+    """path, committed, digest of every file, those without a complete record as well."""
+    return captured.filter("line = -1").select("path", "committed", "digest")
 
 
 def usage_events(lines: DataFrame, source: str = "grok") -> DataFrame:
@@ -114,8 +142,8 @@ def claude_messages(records: DataFrame) -> DataFrame:
 def claude_calls(messages: DataFrame) -> DataFrame:
     """Tool calls of messages, in order."""
     rows = messages.select("path", F.col("idx").alias("message_idx"), F.posexplode("tools").alias("idx", "t"))
-    command = first_of(F.col("t.input"), "$.command", "$.cmd")
+    command = shell_command(F.col("t.name"), F.col("t.input"))
     return rows.select(
         "path", "message_idx", "idx", F.col("t.id").alias("tool_use_id"), F.col("t.name").alias("tool_name"),
-        F.col("t.input").alias("tool_input"), F.when(F.lower("t.name").isin("bash", "shell", "exec_command", "shell_command"), command).alias("bash_command"),
+        F.col("t.input").alias("tool_input"), command.alias("bash_command"),
     )

@@ -13,16 +13,21 @@ from datetime import UTC, datetime
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import agent_fields, shell_command, stored_input
+from ..model import message_id, orphan_call_id, session_id, tool_call_id
+from .jsonl import PATTERN, opened, taken_from
+from .programs import wrapper_calls
+
 SUMMARY = 1024
 CALLS = "array<struct<id:string,name:string,input:string>>"
 RESULTS = "array<struct<id:string,summary:string,is_error:boolean>>"
 THREAD = (
     f"path string, kind string, idx int, role string, content string, thinking string, at timestamp, calls {CALLS}, "
     f"results {RESULTS}, ends_turn boolean, native_id string, model string, cwd string, git_branch string, "
-    "input_tokens long, cached_tokens long, output_tokens long"
+    "input_tokens long, cached_tokens long, output_tokens long, agent_id string, git_repo string"
 )
 NAMES = [c.split()[0] for c in THREAD.split(", ")]
 
@@ -90,10 +95,10 @@ class Thread:
         self.about: dict = {}
         self.used: dict[str, int | None] = {"input_tokens": None, "cached_tokens": None, "output_tokens": None}
 
-    def say(self, role, text, thinking=(), at=None, calls=(), results=(), ends=None) -> dict:
+    def say(self, role, text, thinking=(), at=None, calls=(), results=(), ends=None, agent=None) -> dict:
         join = lambda parts: ("\n".join(parts) if isinstance(parts, (list, tuple)) else parts) or None
         row = {"kind": "message", "role": role, "content": join(text), "thinking": join(thinking), "at": at}
-        self.said.append(row | {"calls": list(calls), "results": list(results), "ends_turn": ends})
+        self.said.append(row | {"calls": list(calls), "results": list(results), "ends_turn": ends, "agent_id": agent})
         return self.said[-1]
 
     def stray(self, at=None, calls=(), results=(), ends=None) -> None:
@@ -105,6 +110,10 @@ class Thread:
     def know(self, **facts) -> None:
         self.about.update({k: v for k, v in facts.items() if v})
 
+    def learn(self, **facts) -> None:
+        """As know, but the first that is told counts."""
+        self.about.update({k: v for k, v in facts.items() if v and k not in self.about})
+
     def spend(self, merge: Callable[[int, int], int], **tokens) -> None:
         """An unknown count stays unknown; it is no zero."""
         for k, n in tokens.items():
@@ -140,6 +149,56 @@ class Mirror:
         self.waiting.clear()
 
 
+# How a turn ends, and who may speak.
+CLAUDE_ENDS = ("end_turn", "stop_sequence")
+ROLES = ("user", "assistant", "system")
+
+
+def _paid(thread: Thread, use: dict, old: dict) -> None:
+    """Cached input is counted beside fresh input: together they are what was billed."""
+    for key in ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"):
+        n = whole(use.get(key))
+        thread.spend(int.__add__, input_tokens=whole(old.get("inputTokens")) if n is None and key == "input_tokens" else n)
+    n = whole(use.get("output_tokens"))
+    thread.spend(int.__add__, output_tokens=whole(old.get("outputTokens")) if n is None else n, cached_tokens=whole(use.get("cache_read_input_tokens")))
+
+
+def read_claude(thread: Thread, records: Iterable[dict]) -> None:
+    """Messages of the main thread, and those of subagents, which progress records carry. A progress record's own message
+    is none; its tokens are billed besides."""
+    for r in records:
+        m, at = as_dict(r.get("message")), when(r.get("timestamp") or r.get("created_at"))
+        thread.learn(
+            model=m.get("model") or r.get("model") or r.get("model_name"), cwd=r.get("cwd") or r.get("working_directory"),
+            git_repo=r.get("git_root") or r.get("repo"), native_id=r.get("sessionId"),
+            git_branch=r.get("gitBranch") or as_dict(r.get("git")).get("branch") or r.get("git_branch"),
+        )
+        data = as_dict(r.get("data"))
+        agent = None
+        if r.get("type") == "progress":
+            m = as_dict(as_dict(data.get("message")).get("message")) if data.get("type") == "agent_progress" else {}
+            agent = data.get("agentId")
+            _paid(thread, as_dict(m.get("usage")), {})
+        else:
+            _paid(thread, as_dict(m.get("usage")), r)
+            m = m or (r if "role" in r else {})
+        role = m.get("role", m.get("sender", "user"))
+        if not m or role not in ROLES:
+            continue
+        b, reason = blocks(m.get("content")), m.get("stop_reason")
+        thread.say(role, b["text"], b["thinking"], at, b["calls"], b["results"], reason in CLAUDE_ENDS if reason else None, agent)
+    # no record names the repository any more; the folder is the best guess
+    thread.learn(git_repo=thread.about.get("cwd"))
+
+
+def compaction(payload: dict) -> str | None:
+    """A readable summary of what was left out, where there is one."""
+    for key in ("summary", "content", "message"):
+        if text := "\n".join(blocks(payload.get(key))["text"]):
+            return text
+    return None
+
+
 def read_codex(thread: Thread, records: Iterable[dict]) -> None:
     """Events and response items mirror each other; calls stand outside messages; token totals are running ones."""
     mirror = Mirror("event", "item")
@@ -170,12 +229,37 @@ def read_codex(thread: Thread, records: Iterable[dict]) -> None:
             role, text = p.get("role") or "system", "\n".join(b["text"])
             if kind == "message" or mirror.first("item", (role, text)):
                 thread.say(role, text, b["thinking"], at, b["calls"], b["results"])
+        elif sub in ("compaction", "compaction_summary"):
+            if text := compaction(p):
+                thread.say("system", text, at=at)
+        elif kind == "compacted":
+            # a snapshot of the history that stays: only what was not told yet is new
+            told = Counter((x["role"], x["content"]) for x in thread.said)
+            if text := compaction(p):
+                thread.say("system", text, at=at)
+            for item in p.get("replacement_history") or []:
+                b, role = blocks(as_dict(item).get("content")), as_dict(item).get("role")
+                text = "\n".join(b["text"])
+                if as_dict(item).get("type") == "message" and role in ROLES and text:
+                    if told[role, text]:
+                        told[role, text] -= 1
+                    else:
+                        thread.say(role, text, b["thinking"], at, b["calls"], b["results"])
+        elif sub == "custom_tool_call" and p.get("name") == "exec" and isinstance(p.get("input"), str):
+            # one program stands for many calls, so none of them owns its id
+            thread.stray(at, [call(None, name, given) for name, given in wrapper_calls(p["input"])])
+        elif sub == "tool_search_call":
+            thread.stray(at, [call(p.get("call_id"), "tool_search", p.get("arguments"))])
+        elif sub == "tool_search_output" and p.get("call_id"):
+            thread.stray(at, results=[answer(p["call_id"], json.dumps({"tools": p.get("tools", [])}))])
         elif sub in ("function_call", "custom_tool_call"):
             thread.stray(at, [call(p.get("call_id"), p.get("name"), p.get("parameters", p.get("arguments", p.get("input"))))])
         elif sub == "web_search_call":
             thread.stray(at, [call(p.get("call_id") or p.get("id"), "web_search", p.get("action"))])
         elif isinstance(sub, str) and sub.endswith("_output") and p.get("call_id"):
-            thread.stray(at, results=[answer(p["call_id"], p.get("output"))])
+            out = as_dict(p.get("output"))
+            text = out["content"] if isinstance(out.get("content"), str) else p.get("output")
+            thread.stray(at, results=[answer(p["call_id"], text, out.get("success") is False)])
 
 
 # How a turn ends.
@@ -255,6 +339,9 @@ def read_grok(thread: Thread, records: Iterable[dict]) -> None:
             made = call(r.get("id") or r.get("tool_call_id"), r.get("name"), r.get("arguments", r.get("input")))
             (thread.said[-1]["calls"] if thread.said and thread.said[-1]["role"] == "assistant" else calls).append(made)
     flush()
+    for row in thread.said:
+        if row["role"] == "assistant" and (row["calls"] or row["content"]):
+            row["ends_turn"] = not row["calls"]
 
 
 def read_kimi(thread: Thread, records: Iterable[dict]) -> None:
@@ -313,23 +400,78 @@ def read_kimi(thread: Thread, records: Iterable[dict]) -> None:
     end_step(None, None)
 
 
-READERS = {"codex": read_codex, "pi": read_pi, "grok": read_grok, "kimi": read_kimi}
+READERS = {"claude": read_claude, "codex": read_codex, "pi": read_pi, "grok": read_grok, "kimi": read_kimi}
+
+
+def _folded(path: str, product: str, records: Iterable[dict]) -> pd.DataFrame:
+    thread = Thread(path)
+    READERS[product](thread, records)
+    out = pd.DataFrame([{n: row.get(n) for n in NAMES} for row in thread.rows()], columns=NAMES)
+    numbers = {c: "Int64" for c in ("input_tokens", "cached_tokens", "output_tokens")} | {"idx": "Int32"}
+    return out.astype(numbers | {"at": "datetime64[us]", "ends_turn": "boolean"})
+
+
+def read_files(spark: SparkSession, path: str, product: str, glob: str = PATTERN) -> DataFrame:
+    """Transcripts of a folder -> THREAD rows: a session row a file, its messages, and strays. A file's records are
+    folded by the task that reads it, so nothing is shuffled."""
+
+    def read(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                taken, _, _ = taken_from(name, bytes(content))
+                yield _folded(name, product, (json.loads(x[2]) for x in taken))
+
+    return opened(spark, path, glob).mapInPandas(read, THREAD)
 
 
 def read_threads(records: DataFrame, product: str) -> DataFrame:
-    """Captured records (path, line, record) -> THREAD rows: a session row a file, its messages, and strays."""
-    reader = READERS[product]
+    """As read_files, from a stored table of captured records (path, line, record), which is grouped by file."""
 
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
-        thread = Thread(key[0])
-        reader(thread, (json.loads(x) for x in frame.sort_values("line")["record"]))
-        out = pd.DataFrame([{n: row.get(n) for n in NAMES} for row in thread.rows()], columns=NAMES)
-        numbers = {c: "Int64" for c in ("input_tokens", "cached_tokens", "output_tokens")} | {"idx": "Int32"}
-        return out.astype(numbers | {"at": "datetime64[us]", "ends_turn": "boolean"})
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _folded(key[0], product, (json.loads(x) for x in frame.sort_values("line")["record"] if x is not None))
 
     return records.select("path", "line", "record").groupBy("path").applyInPandas(fold, THREAD)
 
 
+def thread_sessions(threads: DataFrame, source: str) -> DataFrame:
+    """Session rows of THREAD with what their messages tell: times, whole seconds, counts."""
+    said = threads.filter("kind <> 'session'")
+    counts = said.groupBy("path").agg(
+        F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.count_if(F.col("kind") == "message").alias("message_count"),
+        F.sum(F.size("calls")).alias("tool_count"),
+    )
+    facts = ["native_id", "model", "cwd", "git_repo", "git_branch", "input_tokens", "cached_tokens", "output_tokens"]
+    rows = threads.filter("kind = 'session'").select("path", *facts).join(counts, "path", "left")
+    span = F.col("ended_at").cast("double") - F.col("started_at").cast("double")
+    return rows.select(
+        session_id(F.lit(source), F.col("path")).alias("id"), F.lit(source).alias("source"), "path", *facts, "started_at", "ended_at",
+        F.floor(span).cast("long").alias("duration_seconds"), F.coalesce("message_count", F.lit(0)).alias("message_count"),
+        F.coalesce("tool_count", F.lit(0)).cast("long").alias("tool_count"),
+    )
+
+
+def thread_calls(threads: DataFrame, source: str) -> DataFrame:
+    """Tool calls of THREAD rows with their message, or with none: id, session_id, message_id, idx, tool_name, tool_input,
+    bash_command, tool_use_id, agent_id and what agents and skills are told. A call of no message is numbered in its session."""
+    rows = threads.filter("kind <> 'session'").select(
+        session_id(F.lit(source), F.col("path")).alias("session_id"), "kind", F.col("idx").alias("message_idx"), "agent_id", "at",
+        F.posexplode("calls").alias("place", "c"),
+    )
+    loose = Window.partitionBy("session_id", "kind").orderBy("message_idx", "at", "place")
+    message = F.when(F.col("kind") == "message", message_id(F.col("session_id"), F.col("message_idx")))
+    idx = F.when(F.col("kind") == "message", F.col("place")).otherwise(F.row_number().over(loose) - 1)
+    numbered = rows.withColumn("message_id", message).withColumn("idx", idx)
+    id_ = F.when(F.col("message_id").isNotNull(), tool_call_id(F.col("message_id"), F.col("idx"))).otherwise(
+        orphan_call_id(F.col("session_id"), F.col("idx"))
+    )
+    name, given = F.col("c.name"), F.col("c.input")
+    command = shell_command(name, given)
+    return numbered.select(
+        id_.alias("id"), "session_id", "message_id", "idx", name.alias("tool_name"), stored_input(given, command).alias("tool_input"),
+        command.alias("bash_command"), F.col("c.id").alias("tool_use_id"), "agent_id", *agent_fields(name, given),
+    )
+
+
 def with_sidecars(sessions: DataFrame, sidecars: DataFrame) -> DataFrame:
     """sidecars (path, content) of summary files beside the transcripts override what the path told."""
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]+$", 1)
