@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, whole_text
+from .common import stage, staging, whole_text
 
 LEVEL_BITS = 12
 LEVELS = 5
@@ -73,6 +73,11 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    with staging(rows.sparkSession):
+        return _thresholds(rows, weights, share, most)
+
+
+def _thresholds(rows: DataFrame, weights, share, most) -> DataFrame:
     """rows (source, size, spot) -> per source: _source, threshold, copies, source_size, target. A
     row is taken `copies` times and once more if its spot is below the threshold. Of each level but
     the first only the boundary buckets' rows are read: they are written once and refined from there.
@@ -86,15 +91,16 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     state = {s: {"prefix": 0, "below": 0, "budget": float(plan[s][1])} for s, _ in sizes}
     shape = T.StructType(
         [T.StructField("_source", T.StringType())]
-        + [T.StructField(n, T.LongType()) for n in ("prefix", "threshold", "copies", "source_size")]
-        + [T.StructField("target", T.DoubleType())]
+        + [T.StructField(n, T.LongType()) for n in ("prefix", "below", "threshold", "copies", "source_size")]
+        + [T.StructField(n, T.DoubleType()) for n in ("target", "budget")]
     )
 
     def frame():
         return spark.createDataFrame(
             [
-                (s, state[s]["prefix"], state[s].get("threshold", 0), int(plan[s][0]), n, float(goal[s]))
+                (s, x["prefix"], x["below"], x.get("threshold", 0), int(plan[s][0]), n, float(goal[s]), x["budget"])
                 for s, n in sizes
+                for x in [state[s]]
             ],
             shape,
         )
@@ -109,28 +115,37 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
                 inside = stage(inside, "boundary")
         bucket = F.shiftright("spot", shift)
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-        # per source: at most 2 ** LEVEL_BITS rows, summed from the left up to the budget
-        found: dict = {}
-        for s, buckets in (
-            sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b")).toLocalIterator()
-        ):
-            below = state[s]["below"]
-            for b, n in buckets:
-                if below + n > state[s]["budget"]:
-                    break
-                below += n
+        # per source: at most 2 ** LEVEL_BITS buckets, summed from the left up to the budget
+        buckets = sums.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("buckets"))
+        found = {r["source"]: r["end"] for r in with_source(buckets, frame()).select("source", _boundary().alias("end")).collect()}
+        for s, x in state.items():
+            if s in found:
+                x |= {"prefix": found[s]["bucket"], "below": found[s]["below"], "last": found[s]["n"]}
             else:
-                b, n = b + 1, 0
-            found[s] = (b, below, n)
-        for s, (b, below, n) in found.items():
-            state[s] |= {"prefix": b, "below": below, "last": n}
-        for s in state.keys() - found.keys():
-            state[s]["prefix"] = state[s]["prefix"] << LEVEL_BITS
+                x["prefix"] <<= LEVEL_BITS
     for x in state.values():
         # the row (or rows of one hash) at the boundary goes in if the sum comes nearer by it
         over = x.get("last", 0) and x["below"] + x["last"] - x["budget"] < x["budget"] - x["below"]
         x["threshold"] = x["prefix"] + bool(over)
-    return frame().drop("prefix")
+    return frame().drop("prefix", "below", "budget")
+
+
+def _boundary() -> Column:
+    """The first bucket that passes the budget, with what lies below it and what it holds; where none does, the
+    place behind the last."""
+    start = F.struct(
+        F.col("below").alias("below"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("over")
+    )
+
+    def step(acc, x):
+        over = acc["below"] + x["n"] > F.col("budget")
+        keep = lambda name, at, behind: F.when(acc["over"], acc[name]).when(over, at).otherwise(behind).alias(name)
+        return F.struct(
+            keep("below", acc["below"], acc["below"] + x["n"]), keep("bucket", x["bucket"], x["bucket"] + 1),
+            keep("n", x["n"], F.lit(0).cast("long")), (acc["over"] | over).alias("over"),
+        )
+
+    return F.aggregate("buckets", start, step)
 
 
 def with_source(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -159,7 +174,9 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("source").alias("source"), spot(whole_text()).alias("spot")
     )
-    again = with_source(marked, thresholds(_sizes(docs))).select(
+    with staging(docs.sparkSession):
+        known = thresholds(_sizes(docs))
+    again = with_source(marked, known).select(
         "_row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("spot")).cast("int")))
     )
     return again.select(*[F.col("_row").getField(c).alias(c) for c in names])
