@@ -6,6 +6,8 @@ import ctypes
 import ctypes.util
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -29,23 +31,83 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all that this application stages; its owner may drop it when the results are written."""
+    return f"{scratch_dir(spark)}/turnstone-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/turnstone-{tag}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, and ids given at random stay as written."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of whole texts that are sent to a Python worker at once.
+TEXT_BATCH = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def unstage(spark: SparkSession, df: DataFrame) -> None:
+def stage(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, and ids given at random stay as written. batch
+    bounds the rows that a Python worker is sent at once while df is written; the session's setting holds again after.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
+    before = spark.conf.get(BATCH_SETTING)
+    if batch is not None:
+        spark.conf.set(BATCH_SETTING, batch)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(df: DataFrame) -> None:
     """Delete a staged table that no live plan reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+    _delete(df.sparkSession, df._staged)
+
+
+class Scope:
+    """Tables staged within `staging`; those kept belong to the scope around it."""
+
+    def __init__(self, outer: Scope | None):
+        self.paths: list[str] = []
+        self.outer = outer
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.remove(df._staged)
+        if self.outer is not None:
+            self.outer.paths.append(df._staged)
+        return df
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables that are staged inside and not kept are deleted at the end: what is returned must not read them."""
+    scope = Scope(_scope.get())
+    before = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(before)
+        for path in scope.paths:
+            _delete(spark, path)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all that this application has staged, when its results are written."""
+    _delete(spark, run_folder(spark))
 
 
 def checked_broadcast(staged: DataFrame, row_bytes: int) -> DataFrame:
@@ -132,13 +194,13 @@ def located(text: Column, pattern: str) -> Column:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, key_bytes: int = 24) -> DataFrame:
-    """The rows of docs whose (doc_id, xxhash64 of text) stands in kept (columns _id, _th, distinct; a
+    """The rows of docs whose (doc_id, xxhash64 of text) stands in kept (staged; columns _id, _th, distinct; a
     third, _n, counts the rows of docs with that key). Of rows repeated with the same id and text one
     stays: only those are grouped, the others pass where they stand. Columns of docs pass through
     unchanged, whatever their names.
     """
     names = docs.columns
-    kept = stage(kept.select("_id", "_th", (F.col("_n") > 1).alias("_many")), "kept")
+    kept = kept.select("_id", "_th", (F.col("_n") > 1).alias("_many"))
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
         F.col("doc_id").alias("_id"),

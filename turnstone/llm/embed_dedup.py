@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stage
+from .common import checked_broadcast, stage, staging
 from .graph import connected_components
 from .simhash import components, runs, whole_runs
 
@@ -249,25 +249,26 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     shown = given.withColumn("embedding", F.when(F.col("valid"), whole))
     shape = "vec_id long, label string, valid boolean, h1 long, h2 long, subs array<int>, lead long, width int, bits int, radius int"
     rows = stage(shown.mapInPandas(_coded(coders, total, cosine), shape), "coded")
-    about = ["subs", "lead", "width", "bits", "radius"]
-    classes = stage(
-        rows.filter("valid")
-        .groupBy(*same)
-        .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in about])
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "vector-classes",
-    )
-    found = stage(_links(given, classes, cosine), "links")
-    roots = connected_components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
-    linked = (
-        classes.select("cid", *same, "low", "n")
-        .join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
-        .join(roots, F.col("cid") == F.col("node"), "left")
-        .select(*same, "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
-        .filter("n_links > 0")
-    )
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = stage(linked.join(lowest, "root").select(*same, "n_links", "component_id"), "linked")
+    with staging(spark) as made:
+        about = ["subs", "lead", "width", "bits", "radius"]
+        classes = stage(
+            rows.filter("valid")
+            .groupBy(*same)
+            .agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in about])
+            .withColumn("cid", F.monotonically_increasing_id()),
+            "vector-classes",
+        )
+        found = stage(_links(given, classes, cosine), "links")
+        roots = connected_components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
+        linked = (
+            classes.select("cid", *same, "low", "n")
+            .join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+            .join(roots, F.col("cid") == F.col("node"), "left")
+            .select(*same, "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+            .filter("n_links > 0")
+        )
+        lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+        known = made.keep(stage(linked.join(lowest, "root").select(*same, "n_links", "component_id"), "linked"))
     valid = F.col("valid")
     out = rows.select("vec_id", *[F.when(valid, F.col(c)).alias(c) for c in same]).join(checked_broadcast(known, 64), same, "left")
     component = F.coalesce("component_id", "vec_id")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, keep_rows, stage, whole_text
+from .common import checked_broadcast, keep_rows, stage, staging, whole_text
 
 #: Rows of a block (2 ** BLOCK_BITS at most) and fingerprints an owner receives (about).
 BLOCK_BITS = 18
@@ -186,15 +186,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat another's text; all columns as they came."""
-    kept = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
-    back = docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("_sha"), F.xxhash64(whole_text()).alias("_th"))
-    keys = (
-        back.join(
-            kept.select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")),
-            (F.col("_sha") == F.col("_ksha")) & F.col("doc_id").eqNullSafe(F.col("_kid")),
-            "left_semi",
+    with staging(docs.sparkSession) as made:
+        kept = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
+        back = docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("_sha"), F.xxhash64(whole_text()).alias("_th"))
+        keys = (
+            back.join(
+                kept.select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")),
+                (F.col("_sha") == F.col("_ksha")) & F.col("doc_id").eqNullSafe(F.col("_kid")),
+                "left_semi",
+            )
+            .groupBy(F.col("doc_id").alias("_id"), "_th")
+            .agg(F.count("*").alias("_n"))
         )
-        .groupBy(F.col("doc_id").alias("_id"), "_th")
-        .agg(F.count("*").alias("_n"))
-    )
+        keys = made.keep(stage(keys, "kept"))
     return keep_rows(docs, keys)

@@ -26,14 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     128 bits of hashes come to the driver, and equal ones end the rounds. Rounds grow with the
     logarithm of the longest chain.
     """
-    spark = edges.sparkSession
     now = stage(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = None
     while True:
         then, now = now, stage(_small_star(_large_star(now)), "stars")
-        unstage(spark, then)
+        unstage(then)
         hashes = (F.xxhash64("a", "b"), F.xxhash64(F.lit(1), "b", "a"))
         mark = now.agg(F.count("*"), *[F.sum(h.cast("decimal(20,0)")) for h in hashes]).first()
         if not mark[0] or mark == seen:

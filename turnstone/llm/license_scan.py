@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, let, stage, whole_text
+from .common import checked_broadcast, let, stage, staging, whole_text
 from .license_templates import family, templates
 
 K = 3
@@ -152,13 +152,15 @@ def find_templates(docs: DataFrame, known=None) -> DataFrame:
 def scan_licenses(docs: DataFrame, known=None) -> DataFrame:
     """docs (doc_id, text) -> per row: doc_id, n_words, base (label, start) by place, found (label, first, last, coverage)."""
     words = F.col("words")
-    spans = find_templates(docs, known)
-    found = stage(
-        spans.groupBy(F.col("doc_key").alias("_key"), F.col("text_hash").alias("_th")).agg(
-            F.array_sort(F.collect_list(F.struct("label", "first", "last", "coverage"))).alias("found")
-        ),
-        "licenses",
-    )
+    with staging(docs.sparkSession) as made:
+        spans = find_templates(docs, known)
+        found = stage(
+            spans.groupBy(F.col("doc_key").alias("_key"), F.col("text_hash").alias("_th")).agg(
+                F.array_sort(F.collect_list(F.struct("label", "first", "last", "coverage"))).alias("found")
+            ),
+            "licenses",
+        )
+        made.keep(found)
     ends = F.filter(F.transform(words, lambda w, i: F.when(w == "license", i)), lambda i: i.isNotNull())
     at = lambda i, back: F.when(i >= back, F.get(words, i - back))
     place = lambda i: (

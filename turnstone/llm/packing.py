@@ -29,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, stage
+from .common import TEXT_BATCH, give_back, stage
 
 WINDOW = 4096
 END_ID = 2
 #: Words, and bytes of their characters, that a worker's memo of ids may hold: some 20 MB in all.
-MEMO, MEMO_BYTES = 500_000, 8 << 20
+MEMO, MEMO_BYTES = 300_000, 6 << 20
 #: Characters encoded at once.
-GROUP = 1 << 22
+GROUP = 1 << 21
+#: Bytes of texts after which a worker gives freed memory back.
+GIVE_BACK = 1 << 24
 #: Cells of a table of windows by sources.
 CELLS = 1 << 21
 
@@ -260,6 +262,7 @@ def _tokenize(path: str, run: str):
 
         own, part = word_ids(path, run), TaskContext.get().partitionId()
         ends: dict = {}
+        seen = 0
         for batch in batches:
             at = 0
             for ids, sizes in own.all_texts(batch.column("body"), END_ID):
@@ -275,8 +278,11 @@ def _tokenize(path: str, run: str):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [c.split()[0] for c in TOKENS.split(", ")]
                 )
-            del ids, sizes, rows, places, coded, queue, columns
-            give_back()
+            seen += batch.nbytes
+            if seen > GIVE_BACK:
+                seen = 0
+                give_back()
+        give_back()
 
     return tokenize
 
@@ -412,7 +418,7 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("queue"),
         F.coalesce("text", F.lit("")).alias("body"),
     )
-    coded = stage(ready.mapInArrow(_tokenize(path or tokenizer_path(), uuid.uuid4().hex), TOKENS), "tokens")
+    coded = stage(ready.mapInArrow(_tokenize(path or tokenizer_path(), uuid.uuid4().hex), TOKENS), "tokens", TEXT_BATCH)
     sums = stage(coded.groupBy("queue", "part").agg(F.sum("tokens").alias("n")), "queues")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

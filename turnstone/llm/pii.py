@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, fold, let, located, stage, whole_text
+from .common import checked_broadcast, fold, let, located, stage, staging, whole_text
 
 # Fixed values of the contract. Possessive forms that match the same strings: nothing they could
 # give back is followed by anything that could match it.
@@ -232,33 +232,35 @@ def score_patterns(edges: DataFrame, ordinary: DataFrame) -> DataFrame:
 def scan_pii(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, spans: array of (rank, kind, start, end) by kind, then start."""
     rows = stage(_scanned(docs), "pii")
-    instances = lambda name, seed: rows.select(F.explode(name).alias("x")).select(
-        F.explode("x.patterns").alias("pattern"), F.col("x.value").alias("instance"), F.lit(seed).alias("seed")
-    )
-    # a pattern of few instances can never gain support; places are counted with their instances
-    seen = instances("seeds", True).unionByName(instances("candidates", False)).groupBy("pattern", "instance").agg(
-        F.max("seed").alias("seed"), F.count("*").alias("n")
-    )
-    linked = stage(seen, "pii-edges")
-    usable = stage(
-        linked.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("places")).filter(F.col("instances") >= SUPPORT), "usable"
-    )
-    edges = stage(linked.join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").drop("n"), "edges")
-    total = _surroundings(docs).join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").groupBy("pattern").agg(
-        F.count("*").alias("total")
-    )
-    ordinary = stage(
-        usable.join(total, "pattern", "left").select("pattern", F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0)).alias("ordinary")),
-        "ordinary",
-    )
-    trusted = score_patterns(edges, ordinary).select("pattern")
-    places = rows.select("row_id", F.explode("candidates").alias("x")).select("row_id", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
-    gained = stage(
-        places.join(checked_broadcast(trusted, 40), "pattern", "left_semi")
-        .groupBy("row_id")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more")),
-        "gained",
-    )
+    with staging(docs.sparkSession) as made:
+        instances = lambda name, seed: rows.select(F.explode(name).alias("x")).select(
+            F.explode("x.patterns").alias("pattern"), F.col("x.value").alias("instance"), F.lit(seed).alias("seed")
+        )
+        # a pattern of few instances can never gain support; places are counted with their instances
+        seen = instances("seeds", True).unionByName(instances("candidates", False)).groupBy("pattern", "instance").agg(
+            F.max("seed").alias("seed"), F.count("*").alias("n")
+        )
+        linked = stage(seen, "pii-edges")
+        usable = stage(
+            linked.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("places")).filter(F.col("instances") >= SUPPORT), "usable"
+        )
+        edges = stage(linked.join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").drop("n"), "edges")
+        total = _surroundings(docs).join(checked_broadcast(usable.select("pattern"), 40), "pattern", "left_semi").groupBy("pattern").agg(
+            F.count("*").alias("total")
+        )
+        ordinary = stage(
+            usable.join(total, "pattern", "left").select("pattern", F.greatest(F.coalesce("total", F.lit(0)) - F.col("places"), F.lit(0)).alias("ordinary")),
+            "ordinary",
+        )
+        trusted = score_patterns(edges, ordinary).select("pattern")
+        places = rows.select("row_id", F.explode("candidates").alias("x")).select("row_id", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
+        gained = stage(
+            places.join(checked_broadcast(trusted, 40), "pattern", "left_semi")
+            .groupBy("row_id")
+            .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more")),
+            "gained",
+        )
+        made.keep(gained)
     named = lambda x, rank: F.struct(
         rank.alias("rank"), F.element_at(F.array(*map(F.lit, KINDS)), rank + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, stage, whole_text
+from .common import TEXT_BATCH, keep_rows, stage, staging, whole_text
 from .graph import connected_components
 
 # Fixed values of the contract.
@@ -205,14 +205,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> per row: doc_id, text_hash, fp, component_id."""
-    rows = stage(fingerprints(docs), "simhash")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
-    roots = connected_components(link_classes(classes))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "low", "n", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("size"))
-    known = rooted.join(lowest, "root").filter("size > 1").select("fp", "component_id")
+    rows = stage(fingerprints(docs), "simhash", TEXT_BATCH)
+    with staging(docs.sparkSession) as made:
+        classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
+        roots = connected_components(link_classes(classes))
+        rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+            "fp", "low", "n", F.coalesce("root", "fp").alias("root")
+        )
+        lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("size"))
+        known = made.keep(stage(rooted.join(lowest, "root").filter("size > 1").select("fp", "component_id"), "components"))
     return rows.join(known, "fp", "left").select(
         "doc_id", "text_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id")
     )
@@ -220,7 +221,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one of each component: the smallest doc_id stays."""
-    same = simhash_components(docs).groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    tops = same.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("top"))
-    kept = tops.select(F.col("top.doc_id").alias("_id"), F.col("top.text_hash").alias("_th"), F.col("top.n").alias("_n"))
+    with staging(docs.sparkSession) as made:
+        same = simhash_components(docs).groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+        tops = same.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("top"))
+        kept = tops.select(F.col("top.doc_id").alias("_id"), F.col("top.text_hash").alias("_th"), F.col("top.n").alias("_n"))
+        kept = made.keep(stage(kept, "kept"))
     return keep_rows(docs, kept)
