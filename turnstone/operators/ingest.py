@@ -190,3 +190,28 @@ def chunks(files: DataFrame, most: int = CHUNK_FILES, size: int = CHUNK_BYTES) -
     files_before = F.count("*").over(by)
     number = F.greatest(F.floor(bytes_before / size), F.floor(files_before / most))
     return files.withColumn("chunk", number.cast("long"))
+
+
+def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two walks (path, mtime, size, inode) -> path, change: what appeared, went, was replaced by another file, shrank, grew
+    or was written over."""
+    old = before.select("path", F.struct("mtime", "size", "inode").alias("old"))
+    new = after.select("path", F.struct("mtime", "size", "inode").alias("new"))
+    kind = (
+        F.when(F.col("old").isNull(), "created")
+        .when(F.col("new").isNull(), "removed")
+        .when(~F.col("old.inode").eqNullSafe(F.col("new.inode")), "replaced")
+        .when(F.col("new.size") < F.col("old.size"), "truncated")
+        .when(F.col("new.size") > F.col("old.size"), "appended")
+        .when(~F.col("old.mtime").eqNullSafe(F.col("new.mtime")), "rewritten")
+    )
+    return old.join(new, "path", "full_outer").select("path", kind.alias("change")).filter("change is not null")
+
+
+def debounced(changes: DataFrame, quiet: str, late: str | None = None) -> DataFrame:
+    """changes (path, at) -> path, first, last, n: changes of a path no more than `quiet` apart are one, told when the path has
+    been still for so long. Of a stream, `late` is how much later than others a change may come."""
+    rows = changes.withWatermark("at", late) if late is not None else changes
+    return rows.groupBy("path", F.session_window("at", quiet).alias("w")).agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")
+    ).drop("w")

@@ -621,3 +621,34 @@ def snk3_guidance(spark, d):
     return spark.createDataFrame([(note,)], "note string")
 
 
+
+
+@query(
+    """SELECT c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN 'created' WHEN c_custkey % 7 = 1 THEN 'removed' WHEN c_custkey % 7 = 2 THEN 'replaced'
+              WHEN c_custkey % 7 = 3 THEN 'truncated' WHEN c_custkey % 7 = 4 THEN 'appended' ELSE 'rewritten' END AS change
+       FROM customer WHERE c_custkey % 7 < 6"""
+)
+def str3_file_changes(spark, d):
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("path"), F.lit(5).alias("mtime"), (100 + F.col("c_nationkey")).alias("size"), F.col("c_custkey").alias("inode")
+    )
+    part = F.col("path") % 7
+    after = rows.filter(part != 1).withColumns(
+        {
+            "inode": F.when(part == 2, -F.col("inode")).otherwise(F.col("inode")),
+            "size": F.col("size") + F.when(part == 3, -1).when(part == 4, 1).otherwise(0),
+            "mtime": F.when(part == 5, 6).otherwise(F.col("mtime")),
+        }
+    )
+    return ingest.file_changes(rows.filter(part != 0), after)
+
+
+@query(
+    """SELECT user_id AS path, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (
+         SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
+           SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+       GROUP BY user_id, run"""
+)
+def str4_debounced(spark, d):
+    changes = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("ts").alias("at"))
+    return ingest.debounced(changes, "12 hours")
