@@ -5,7 +5,7 @@ are cut in BLOCKS parts, and two fingerprints that differ in at most RADIUS bits
 RADIUS of them, so every choice of that many parts is a table. Buckets above SPLIT members are
 dealt again by each third of the other bits, which loses no pair by the same argument. Within a
 bucket fingerprints are stored as bit planes; a query's difference to 64 fingerprints a word is
-added plane by plane into carry-save counters, and a block whose counters all exceed the radius is
+added plane by plane into carry-save counters, and a block whose counters have all passed the radius is
 left. Links found in a bucket come out as stars of its components, never as pairs.
 
 Null text counts as empty and has fingerprint zero, linked like any other. Repeated rows share a
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, keep_rows, stage, staging, whole_text
+from .common import TEXT_BATCH, keep_rows, mix64, stage, staging, whole_text
 from .graph import connected_components
 
 # Fixed values of the contract.
@@ -53,33 +53,54 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
+def wide_print(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of 64 * words bits: each word votes on its own mix of the shingles' hashes."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words):
+        votes = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), SLAB):
+            mixed = mix64(hashes[i : i + SLAB] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % 2**64))
+            votes += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
-    """(64, words): bit j of word w of plane b is bit b of fingerprint 64 * w + j."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    rows = np.zeros((64, -(-len(prints) // 64) * 64), np.uint8)
-    rows[:, : len(prints)] = bits.T
+    """prints (n, words) -> (64 * words, blocks): bit j of block w of plane b is bit b of fingerprint 64 * w + j."""
+    n, bits = len(prints), np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    rows = np.zeros((bits.shape[1], -(-n // 64) * 64), np.uint8)
+    rows[:, :n] = bits.T
     return np.packbits(rows, axis=1, bitorder="little").view("<u8")
 
 
 def near(prints: np.ndarray, radius: int = RADIUS):
-    """Pairs (i, j), i < j, within radius, in slabs of queries against blocks of 64 * 256 fingerprints."""
+    """Pairs (i, j), i < j, of fingerprints (n,) or (n, words) within radius, in slabs of queries against
+    blocks of 64 * 256 fingerprints. Distances are counted in carry-save counters, bit by bit of the count, that
+    start so far below their overflow as the radius is wide: what overflows has passed it.
+    """
+    prints = prints.reshape(len(prints), -1)
     n, full = len(prints), np.uint64(2**64 - 1)
     stored = planes(prints)
-    varying = [b for b in range(64) if 0 < int(((prints >> np.uint64(b)) & np.uint64(1)).sum()) < n]
+    ones = np.unpackbits(stored.view(np.uint8), axis=1).sum(axis=1, dtype=np.int64)
+    varying = np.flatnonzero((ones > 0) & (ones < n))
+    width = int(radius + 1).bit_length()
+    first = 2**width - (radius + 1)
     for q in range(0, n, QUERIES):
         asked = prints[q : q + QUERIES]
-        flips = [np.where((asked >> np.uint64(b)) & np.uint64(1), full, np.uint64(0)) for b in varying]
+        flips = [np.where((asked[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), full, np.uint64(0)) for b in varying.tolist()]
         for w in range(q // 64, stored.shape[1], 256):
             block = stored[:, w : w + 256]
-            # level k holds a bit where at least k + 1 differences were seen
-            levels = [np.zeros((len(asked), block.shape[1]), np.uint64) for _ in range(radius + 1)]
-            for at, b in enumerate(varying):
+            shape = (len(asked), block.shape[1])
+            counter = [np.full(shape, full if first >> k & 1 else 0, np.uint64) for k in range(width)]
+            over = np.zeros(shape, np.uint64)
+            for at, b in enumerate(varying.tolist()):
                 carry = block[b][None, :] ^ flips[at][:, None]
-                for k in range(radius + 1):
-                    levels[k], carry = levels[k] | carry, levels[k] & carry
-                if at % 8 == 7 and (levels[radius] == full).all():
+                for k in range(width):
+                    counter[k], carry = counter[k] ^ carry, counter[k] & carry
+                over |= carry
+                if at % 8 == 7 and (over == full).all():
                     break
-            close = ~levels[radius]
+            close = ~over
             rows, words = np.nonzero(close)
             if not len(rows):
                 continue
