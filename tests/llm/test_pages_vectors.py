@@ -34,6 +34,24 @@ def test_members_stand_alone(spark, monkeypatch):
     assert sorted(r["page_id"] for r in warc.read_archives(spark, clean).collect()) == list(range(20))
 
 
+def test_archives_of_lost_attempts_are_not_read(spark):
+    pages = spark.createDataFrame([(i, "u", "z" * 700 + str(i)) for i in range(20)], "page_id long, url string, html string")
+    raw, clean = fresh_path(spark, "raw"), fresh_path(spark, "clean")
+    lost = warc.write_archives(warc.assign_records(pages), raw).collect()
+    listed = spark.createDataFrame(warc.write_archives(warc.assign_records(pages), raw).collect(), "name string, bytes long")
+    assert not {r["name"] for r in lost} & {r["name"] for r in listed.collect()}
+    warc.normalise_archives(spark, raw, clean, listed).count()
+    done = spark.createDataFrame(warc.normalise_archives(spark, raw, clean, listed).collect(), "name string, records long")
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, clean, done).collect()) == list(range(20))
+
+
+def test_a_record_longer_than_an_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = spark.createDataFrame([(1, "u", "é" * 50_000), (2, "u", "é" * 50_000), (3, "v", "x")], "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.round_trip(pages.coalesce(1)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()))
+    assert got == [(1, 100_000, "revisit", 2), (2, 100_000, "response", None), (3, 1, "response", None)]
+
+
 def test_cut_archives_raise():
     data = warc._gzip(warc.record_bytes(1, "u", b"abc", "d", None) * 2)
     assert len(list(warc.stream_records(warc.inflate(data)))) == 2
@@ -82,7 +100,7 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embed_dedup.embedding_links(frame.limit(0)).count() == 0
 
 
-def test_recall_on_whole_table(spark):
+def test_share_of_pairs_found_on_whole_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in frame.collect()]
     want, got = brute(rows), embed_dedup.embedding_links(frame).collect()

@@ -65,14 +65,14 @@ def stage(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def drop_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no live plan reads any more."""
-    _delete(df.sparkSession, df._staged)
+    drop_folder(df.sparkSession, df._staged)
 
 
 class Scope:
@@ -102,12 +102,12 @@ def staging(spark: SparkSession):
     finally:
         _scope.reset(before)
         for path in scope.paths:
-            _delete(spark, path)
+            drop_folder(spark, path)
 
 
 def drop_run(spark: SparkSession) -> None:
     """Delete all that this application has staged, when its results are written."""
-    _delete(spark, run_folder(spark))
+    drop_folder(spark, run_folder(spark))
 
 
 def checked_broadcast(staged: DataFrame, row_bytes: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, fresh_path, stage
+from .common import checked_broadcast, drop_folder, fresh_path, stage, staging
 
 REVISIT_BYTES = 1000
 #: Uncompressed bytes after which an archive is closed. One record may exceed it.
@@ -125,18 +125,36 @@ def _gzip(data: bytes) -> bytes:
     return engine.compress(data) + engine.flush()
 
 
+def _attempt() -> int:
+    """A number of this attempt at a task. It is part of the names of files, so an attempt that was lost leaves
+    none under a name of the one that counts; the lists name only those of attempts that count."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().taskAttemptId()
+
+
+def _listed(spark: SparkSession, folder: str, only: DataFrame | None) -> DataFrame:
+    """path, content of folder's archives, or of those in a list (name)."""
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    if only is None:
+        return archives
+    names = checked_broadcast(only.select(F.col("name").alias("_name")), 128)
+    return archives.join(names, F.element_at(F.split("path", "/"), -1) == F.col("_name"), "left_semi")
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """pages (row_id, page_id, url, html, refers) in order -> archives in folder; their list."""
+    """pages (row_id, page_id, url, html, refers) -> archives in folder; their list."""
 
     def write(frames):
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
+        attempt = _attempt()
         first, size, out, engine = None, 0, io.BytesIO(), None
         done = []
 
         def close():
             out.write(engine.flush())
-            name = f"pages-{first:020d}.warc.gz"
+            name = f"pages-{first:020d}-{attempt}.warc.gz"
             _put(store, posixpath.join(base, name), out.getvalue())
             done.append((name, size))
 
@@ -165,8 +183,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.mapInPandas(write, "name string, bytes long")
 
 
-def normalise_archives(spark: SparkSession, folder: str, into: str) -> DataFrame:
-    """Rewrite folder's *.warc.gz record by record into the folder `into`; list of files and counts."""
+def normalise_archives(spark: SparkSession, folder: str, into: str, only: DataFrame | None = None) -> DataFrame:
+    """Rewrite folder's *.warc.gz, or those in a list, record by record into the folder `into`; list of files and counts."""
 
     def rewrite(frames):
         store, base = _store(into)
@@ -179,20 +197,19 @@ def normalise_archives(spark: SparkSession, folder: str, into: str) -> DataFrame
                     head = parse_record(record)[0]
                     index.append({"o": out.tell(), "n": len(member), "id": head["WARC-Record-ID"]})
                     out.write(member)
-                name = posixpath.basename(path)
+                name = posixpath.basename(path).removesuffix(".warc.gz") + f"-{_attempt()}.warc.gz"
                 side = "".join(json.dumps(x) + "\n" for x in index).encode()
                 _put(store, posixpath.join(base, name + ".idx"), side)
                 _put(store, posixpath.join(base, name), out.getvalue())
                 yield pd.DataFrame({"name": [name], "records": [len(index)]})
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return archives.select("path", "content").mapInPandas(rewrite, "name string, records long")
+    return _listed(spark, folder, only).mapInPandas(rewrite, "name string, records long")
 
 
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
     """The records of normalised archives, each cut out by its sidecar's offset; digests are checked."""
 
     def number(urn: str):
@@ -217,8 +234,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=columns)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return archives.select("path", "content").mapInPandas(read, FIELDS)
+    return _listed(spark, folder, only).mapInPandas(read, FIELDS)
 
 
 def assign_records(pages: DataFrame) -> DataFrame:
@@ -256,8 +272,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back; one row a page."""
     spark = pages.sparkSession
     raw, clean = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
-    written = stage(write_archives(assign_records(pages), raw), "warc-list")
-    if not written.count():
+    with staging(spark) as made:
+        written = made.keep(stage(write_archives(assign_records(pages), raw), "warc-list"))
+    if not written.limit(1).count():
         return spark.createDataFrame([], FIELDS)
-    stage(normalise_archives(spark, raw, clean), "warc-clean")
-    return read_archives(spark, clean)
+    listed = stage(normalise_archives(spark, raw, clean, written), "warc-clean")
+    drop_folder(spark, raw)
+    return read_archives(spark, clean, listed)
