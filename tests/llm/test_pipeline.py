@@ -99,6 +99,6 @@ def test_what_was_staged_is_deleted(spark, nasty):
     near_copies.keep_one_each(nasty).count()
     vectors = spark.createDataFrame([(i, [float(i % 3), 1.0], 0) for i in range(9)], "vec_id long, embedding array<float>, label int")
     embed_dedup.embedding_links(vectors).count()
-    assert left() == {"pii", "gained", "licenses", "kept", "coded", "linked"}
+    assert left() == {"pii", "gained", "licenses", "marks", "coded", "linked"}
     common.drop_run(spark)
     assert not folder.exists()

@@ -193,25 +193,32 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPANS))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key_bytes: int = 24) -> DataFrame:
-    """The rows of docs whose (doc_id, xxhash64 of text) stands in kept (staged; columns _id, _th, distinct; a
-    third, _n, counts the rows of docs with that key). Of rows repeated with the same id and text one
-    stays: only those are grouped, the others pass where they stand. Columns of docs pass through
-    unchanged, whatever their names.
-    """
-    names = docs.columns
-    kept = kept.select("_id", "_th", (F.col("_n") > 1).alias("_many"))
-    marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.col("doc_id").alias("_id"),
-        F.xxhash64(whole_text()).alias("_th"),
+def text_hash() -> Column:
+    return F.xxhash64(whole_text())
+
+
+def one_of_each(rows: DataFrame, group: str, order: Column) -> DataFrame:
+    """rows (group, doc_id, digest, n: rows with that id and digest) -> marks for `keep_rows`, so that of each group
+    only the first by order stays. Groups of one row need none."""
+    tops = rows.groupBy(group).agg(F.min(F.struct(order.alias("o"), "doc_id", "digest")).alias("top"), F.sum("n").alias("_rows"))
+    some = stage(tops.filter("_rows > 1").select(F.col(group).alias("_group"), "top"), "tops")
+    near = rows.join(checked_broadcast(some, 120), F.col(group).eqNullSafe(F.col("_group")))
+    first = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("digest") == F.col("top.digest"))
+    return near.withColumn("_first", first).filter("not _first or n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("_first").alias("_one")
     )
 
-    def among(keys: DataFrame) -> DataFrame:
-        small = checked_broadcast(keys.select(F.col("_id").alias("_kid"), F.col("_th").alias("_kth")), key_bytes)
-        return marked.join(small, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")), "left_semi")
 
-    stays = among(kept.filter("not _many")).select("_row")
-    if kept.filter("_many").limit(1).count():
-        stays = stays.unionByName(among(kept.filter("_many")).groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row"))
+def keep_rows(docs: DataFrame, marks: DataFrame, digest: Column) -> DataFrame:
+    """docs without the rows whose (doc_id, digest of the text) stands in marks (staged; columns _id, _digest, _one), but
+    for one row of each key that is marked _one. Only marked rows are looked for and only repeated ones grouped; the
+    others pass where they stand. Columns of docs pass through unchanged, whatever their names.
+    """
+    names = docs.columns
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_did"), digest.alias("_dig"))
+    same = F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dig") == F.col("_digest"))
+    stays = marked.join(checked_broadcast(marks.select("_id", "_digest"), 160), same, "left_anti").select("_row")
+    if marks.filter("_one").limit(1).count():
+        one = marked.join(checked_broadcast(marks.filter("_one").select("_id", "_digest"), 160), same, "left_semi")
+        stays = stays.unionByName(one.groupBy("_did", "_dig").agg(F.first("_row").alias("_row")).select("_row"))
     return stays.select(*[F.col("_row").getField(c).alias(c) for c in names])

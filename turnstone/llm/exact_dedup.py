@@ -187,16 +187,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat another's text; all columns as they came."""
     with staging(docs.sparkSession) as made:
-        kept = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
-        back = docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("_sha"), F.xxhash64(whole_text()).alias("_th"))
-        keys = (
-            back.join(
-                kept.select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha")),
-                (F.col("_sha") == F.col("_ksha")) & F.col("doc_id").eqNullSafe(F.col("_kid")),
-                "left_semi",
-            )
-            .groupBy(F.col("doc_id").alias("_id"), "_th")
-            .agg(F.count("*").alias("_n"))
-        )
-        keys = made.keep(stage(keys, "kept"))
-    return keep_rows(docs, keys)
+        # only rows of a group are marked; a key has a row that stays, or none
+        twice = exact_groups(docs).filter("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+        keys = twice.agg(F.max("kept").alias("_one"), F.count("*").alias("_n"))
+        marks = made.keep(stage(keys.filter("not _one or _n > 1").drop("_n"), "marks"))
+    return keep_rows(docs, marks, F.sha2(whole_text().cast("binary"), 256))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, keep_rows, mix64, stage, staging, whole_text
+from .common import TEXT_BATCH, keep_rows, mix64, one_of_each, stage, staging, text_hash, whole_text
 from .graph import connected_components
 
 # Fixed values of the contract.
@@ -243,8 +243,6 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one of each component: the smallest doc_id stays."""
     with staging(docs.sparkSession) as made:
-        same = simhash_components(docs).groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-        tops = same.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("top"))
-        kept = tops.select(F.col("top.doc_id").alias("_id"), F.col("top.text_hash").alias("_th"), F.col("top.n").alias("_n"))
-        kept = made.keep(stage(kept, "kept"))
-    return keep_rows(docs, kept)
+        found = simhash_components(docs).groupBy("component_id", "doc_id", F.col("text_hash").alias("digest"))
+        marks = made.keep(stage(one_of_each(found.agg(F.count("*").alias("n")), "component_id", F.lit(0)), "marks"))
+    return keep_rows(docs, marks, text_hash())
