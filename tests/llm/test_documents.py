@@ -129,7 +129,7 @@ def luhn(d):
 
 def brute_pii(text):
     found = lambda rx: re.finditer(rx, text)
-    out = [(0, m.start(), m.end()) for m in found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")] if "@" in text[:200] else []
+    out = [(0, m.start(), m.end()) for m in found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")] if "@" in text else []
     out += [
         (1, m.start(), m.end())
         for m in found(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

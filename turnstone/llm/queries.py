@@ -27,6 +27,7 @@ def _digest(spans, kinds):
         *[count(k).alias(f"n_{k}") for k in kinds],
         F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     ]
 
 
