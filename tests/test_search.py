@@ -117,3 +117,24 @@ def test_names_that_do_not_name_one_session(spark):
     for name, scope in (("s", None), ("nothing", None), ("abcdef", None), ("abcdef01", F.col("host") == "y")):
         with pytest.raises(search.SessionNameError):
             search.one_session(rows, name, scope)
+
+
+def test_statistics_of_words_count_no_other_word_of_their_stem(spark):
+    texts = [(0, "of ofed Of"), (1, "reds red"), (2, "ofing"), (3, None)]
+    docs = spark.createDataFrame(texts, "id long, content string")
+    count = lambda index: {r["term"]: (r["df"], r["occurrences"]) for r in search.index_statistics(index).collect()}
+    assert count(search.build_index(docs, "id", "content", stemmed=False)) == {"of": (1, 2), "ofed": (1, 1), "ofing": (1, 1), "reds": (1, 1), "red": (1, 1)}
+    assert count(search.build_index(docs, "id", "content")) == {"of": (2, 4), "red": (1, 2)}
+
+
+def test_term_statistics_match_their_sql_on_words_of_one_stem(spark, tmp_path):
+    import duckdb
+    from turnstone.plans.catalogue import ORACLE_SQL, QUERIES
+
+    rows = [(0, 0, "user", "a plan of ofed things"), (0, 1, "assistant", "ofing boxing reds tos as aing"), (1, 0, "user", None), (2, 0, "user", "boxes of 7 7s")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["agg19_term_statistics"](spark, str(tmp_path)).select("term", "df", "occurrences").collect()
+    want = con.execute(f"SELECT term, df, occurrences FROM ({ORACLE_SQL['agg19_term_statistics']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)

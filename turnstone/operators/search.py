@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import quality
-from ..functions.stemming import tokens
+from ..functions.stemming import tokens, words
 
 # Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -51,20 +51,23 @@ def parse_query(text: str) -> list[Phrase]:
 PLACES = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
-@F.pandas_udf(PLACES)
-def _places(text: pd.Series) -> pd.Series:
+def _places(cut: Callable[[str | None], list[str]]):
     def of(t):
         found: dict[str, list[int]] = {}
-        for i, term in enumerate(tokens(t)):
+        for i, term in enumerate(cut(t)):
             found.setdefault(term, []).append(i)
         return [{"term": k, "positions": v} for k, v in found.items()]
 
-    return text.map(of)
+    def places(text: pd.Series) -> pd.Series:
+        return text.map(of)
 
+    return F.pandas_udf(places, PLACES)
 
-def build_index(docs: DataFrame, key: str, *fields: str) -> Index:
-    """Postings are made where a row stands: nothing is shuffled."""
-    rows = docs.select(F.col(key).alias("key"), *[_places(F.col(f)).alias(f) for f in fields])
+
+def build_index(docs: DataFrame, key: str, *fields: str, stemmed: bool = True) -> Index:
+    """Postings are made where a row stands: nothing is shuffled. Searches need stems; statistics may be of the words themselves."""
+    places = _places(tokens if stemmed else words)
+    rows = docs.select(F.col(key).alias("key"), *[places(F.col(f)).alias(f) for f in fields])
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("found")) for f in fields])
     by_field = rows.select("key", F.explode(each).alias("x")).select("key", "x.field", F.explode("x.found").alias("p"))
     count = lambda f: F.aggregate(f, F.lit(0), lambda n, p: n + F.size(p["positions"]))
