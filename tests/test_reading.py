@@ -161,3 +161,34 @@ def test_chunk_streams_take_a_bounded_batch(spark, tmp_path):
     query.awaitTermination()
     assert sum(sizes) == 5 and max(sizes) < 5
     assert ingest.chunk_options(None) == {"maxFilesPerTrigger": "512"}
+
+
+def test_of_markers_at_one_place_the_first_of_the_table_counts(spark):
+    tails = spark.createDataFrame([("a", 5), ("b", 9), ("c", 9)], "session_id string, tail_idx long")
+    lines = [("a", 3, True, 4), ("a", 3, False, 1), ("a", 3, True, 2), ("a", 6, True, 0), ("b", 2, True, 7), ("b", 2, False, 8), ("b", 1, False, 0)]
+    lines += [("c", 4, None, 0), ("c", 3, True, 1)]
+    for parts in (1, 5):
+        for mine in (lines, lines[::-1]):
+            markers = spark.createDataFrame(mine, "session_id string, message_idx long, ends_turn boolean, place int").repartition(parts)
+            got = sorted(map(tuple, relational.marker_at_or_below(tails, markers, "place").collect()))
+            assert got == [("a", 5, 3, False), ("b", 9, 2, True), ("c", 9, 4, True)]
+
+
+def test_markers_match_their_sql_when_lines_are_shuffled(spark, tmp_path):
+    """The answer does not hang on which side is broadcast or in which order rows arrive."""
+    import duckdb
+    from turnstone.plans.catalogue import ORACLE_SQL, QUERIES
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("events", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["jn10_marker_as_of"]).fetchall())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("-1", "64k", "7"), strict=True):
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, QUERIES["jn10_marker_as_of"](spark, sf).select("session_id", "tail_idx", "marker_idx", "ends_turn").collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == want

@@ -293,10 +293,12 @@ def jn7_present_flag(spark, d):
 )
 def jn10_marker_as_of(spark, d):
     tails = view(spark, d, "calls").groupBy("session_id").agg(F.max("idx").alias("tail_idx"))
-    markers = view(spark, d, "results").select(
-        "session_id", F.col("idx").cast("long").alias("message_idx"), (F.col("l_linestatus") == "F").alias("ends_turn")
-    )
-    return relational.marker_at_or_below(tails, markers)
+    # lines share numbers, and the SQL's max_by keeps the first it reads: the results in the order of their file
+    markers = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("long").alias("message_idx"),
+        (F.col("l_linestatus") == "F").alias("ends_turn"), "_metadata.file_path", "_metadata.row_index",
+    )
+    return relational.marker_at_or_below(tails, markers, "file_path", "row_index")
 
 
 @query(
