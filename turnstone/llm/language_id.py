@@ -233,7 +233,9 @@ def fit(docs: DataFrame) -> BackoffModel:
         .groupBy("lang", "word")
         .count()
     )
-    return BackoffModel.fit(words.toArrow())
+    model = BackoffModel.fit(words.toArrow())
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: BackoffModel | None = None) -> DataFrame:
